@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts, token_ids
+from . import line_dedup, media, mixing, packing, quality, token_counts, token_ids
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_token_ids": token_ids.op4_token_ids,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_packing": packing.op6_packing,
+    "op7_media": media.op7_media,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_quality": quality.op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_line_dedup": line_dedup.SQL,
+    "op9_mixing": mixing.SQL,
+}
