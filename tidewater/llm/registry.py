@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, mixing, packing, quality, token_counts, token_ids
+from . import line_dedup, media, mixing, ngram_join, packing, quality, token_counts, token_ids
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_packing": packing.op6_packing,
     "op7_media": media.op7_media,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
 }
