@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, mixing, ngram_join, packing, quality, token_counts, token_ids
+from . import language_id, line_dedup, media, mixing, ngram_join, packing, quality, token_counts, token_ids
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_language_id": language_id.op3_language_id,
     "op4_token_ids": token_ids.op4_token_ids,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_packing": packing.op6_packing,
