@@ -41,11 +41,16 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def removed(df: DataFrame) -> None:
-    """Deletes what ``written`` wrote, once nothing reads it any more."""
+    """Deletes what ``written`` wrote, once nothing reads it any more.
+
+    A collection then lets Spark's cleaner drop the shuffle files of plans that
+    nothing refers to, which a driver with much free heap would keep for long.
+    """
     path, spark = getattr(df, "_tidewater_path", None), df.sparkSession
     if path:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

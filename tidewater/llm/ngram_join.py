@@ -11,7 +11,7 @@ Frequencies come from one hashed counter array over all documents; its noise
 changes the order and the choice of l, never the result.
 
 What is wanted are classes, so links inside a class that is already known are
-not sought.  First every token's holders are compared with its smallest holder
+not sought.  First every token's holders are compared with one of them
 only, which joins groups of near copies in a linear number of checks.  Then all
 candidates between different classes are verified, so no link between classes is
 lost.  Classes are found by star contraction of the links.
@@ -41,9 +41,11 @@ WIDTH = 5
 #: The similarity is NUM / DEN or more.
 NUM, DEN = 3, 4
 #: Largest l.
-MOST_MATCHES = 4
-#: Counters of the frequency estimate, and bits of the filter of documents to be verified (both as powers of two).
-COUNTER_BITS, FILTER_BITS = 21, 24
+MOST_MATCHES = 6
+#: Other documents that a token without a known frequency is taken to have.
+FLOOR = 0.05
+#: Counters of the frequency estimate, bits of the filters of documents to be verified and of tokens met twice (as powers of two).
+COUNTER_BITS, FILTER_BITS, TOKEN_BITS = 21, 24, 27
 CHUNKS = 32
 
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -136,17 +138,17 @@ def frequency_levels(counts: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(counts / noise, 1))).astype(np.uint8)
 
 
-def choose_matches(level: np.ndarray, n: int, noise_free: float = 1.0) -> int:
+def choose_matches(level: np.ndarray, n: int) -> int:
     """The l for a probing set whose tokens, in order, have these frequency levels.
 
     Looking up the prefix costs what its tokens' holders number; a candidate costs
     a verification and has l of those hits at least, so there are at most 1/l of
-    them.  Levels are relative to the noise floor, level 0 counting as nothing.
+    them.  Levels are relative to the noise floor; level 0 counts as ``FLOOR``.
     """
     need = -(-NUM * n // DEN)
     most = min(MOST_MATCHES, need)
     base = n - need
-    hits = np.where(level[: base + most] > 0, np.exp2(level[: base + most].astype(np.float64)), 0.0) * noise_free
+    hits = np.where(level[: base + most] > 0, np.exp2(level[: base + most].astype(np.float64)), FLOOR)
     total = np.cumsum(hits)
     best, least = 1, None
     for m in range(1, most + 1):
@@ -157,7 +159,7 @@ def choose_matches(level: np.ndarray, n: int, noise_free: float = 1.0) -> int:
 
 
 def _prefixes(docs: DataFrame, levels) -> DataFrame:
-    """token, doc, n, lev (smallest l whose index prefix has the token, 0: none), ell (the probe's l, 0: not in its prefix); written."""
+    """token, doc, n, pos, lev (smallest l whose index prefix has the token, 0: none), ell (the probe's l, 0: not in its prefix); written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = levels.value
@@ -171,7 +173,7 @@ def _prefixes(docs: DataFrame, levels) -> DataFrame:
                     level = level_of[(own >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                     order = np.argsort(level, kind="stable") if level.any() else slice(None)
                     level = level[order]
-                    ell = choose_matches(level, n) if level.any() else 1
+                    ell = choose_matches(level, n)
                     probe = n - -(-NUM * n // DEN) + ell
                     spare = n - required(n, n)
                     index = min(n, spare + MOST_MATCHES)
@@ -184,11 +186,11 @@ def _prefixes(docs: DataFrame, levels) -> DataFrame:
                     continue
                 times = [m[2] for m in meta]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array([m[0] for m in meta], np.int64), times)), pa.array(np.repeat(np.array([m[1] for m in meta], np.int32), times)), pa.array(np.concatenate([m[3] for m in meta]), pa.int8()), pa.array(np.concatenate([m[4] for m in meta]), pa.int8())],
-                    names=["token", "doc", "n", "lev", "ell"],
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array([m[0] for m in meta], np.int64), times)), pa.array(np.repeat(np.array([m[1] for m in meta], np.int32), times)), pa.array(np.concatenate([np.arange(m[2]) for m in meta]), pa.int32()), pa.array(np.concatenate([m[3] for m in meta]), pa.int8()), pa.array(np.concatenate([m[4] for m in meta]), pa.int8())],
+                    names=["token", "doc", "n", "pos", "lev", "ell"],
                 )
 
-    return written(docs.mapInArrow(run, "token long, doc long, n int, lev byte, ell byte"), "prefixes", compression="zstd")
+    return written(docs.mapInArrow(run, "token long, doc long, n int, pos int, lev byte, ell byte"), "prefixes", compression="zstd")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -223,6 +225,55 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.filter("doc_id is not null").mapInArrow(run, "doc long, tokens binary")
 
 
+def _met_twice(prefixes: DataFrame) -> np.ndarray:
+    """Bits of fixed number, set at least where two rows of ``prefixes`` or more have their token."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = (np.zeros(1 << (TOKEN_BITS - 5), np.uint32) for _ in range(2))
+        for batch in batches:
+            slot, n = np.unique(_slot(column(batch, "token")), return_counts=True)
+            bit = np.uint32(1) << (slot & 31).astype(np.uint32)
+            again = (n > 1) | (once[slot >> 5] & bit > 0)
+            np.bitwise_or.at(twice, slot[again] >> 5, bit[again])
+            np.bitwise_or.at(once, slot >> 5, bit)
+        for k, (a, b) in enumerate(zip(_chunks(once), _chunks(twice))):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], names=["chunk", "once", "twice"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for k, *data in zip(column(batch, "chunk").to_pylist(), column(batch, "once"), column(batch, "twice")):
+                a, b = (np.frombuffer(zlib.decompress(x.as_py()), "<u4") for x in data)
+                if k in seen:
+                    once, twice = seen[k]
+                    a, b = once | a, twice | b | (once & a)
+                seen[k] = a, b
+        for k, (_, twice) in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], names=["chunk", "data"])
+
+    marked = prefixes.select("token").mapInArrow(marks, "chunk int, once binary, twice binary").repartition(CHUNKS, "chunk")
+    found = marked.mapInArrow(merge, "chunk int, data binary").collect()  # CHUNKS rows
+    return np.concatenate([np.frombuffer(zlib.decompress(r["data"]), "<u4") for r in sorted(found, key=lambda r: r["chunk"])]) if found else np.zeros(0, np.uint32)
+
+
+def _slot(tokens: pa.Array) -> np.ndarray:
+    """From the low bits: tokens of a prefix are the least of their level, so their high bits are not even."""
+    return tokens.to_numpy(zero_copy_only=False) & ((1 << TOKEN_BITS) - 1)
+
+
+def _maybe_shared(prefixes: DataFrame) -> DataFrame:
+    """``prefixes`` without most of the tokens that only one row has; those that more have all stay."""
+    twice = prefixes.sparkSession.sparkContext.broadcast(_met_twice(prefixes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = twice.value
+        for batch in batches:
+            slot = _slot(column(batch, "token"))
+            yield batch.filter(pa.array((bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
+
+    return prefixes.mapInArrow(run, prefixes.schema)
+
+
 def _bit(ids: np.ndarray) -> np.ndarray:
     return (wh.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -233,10 +284,8 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     Sets join their second documents first: in a star around a, those differ, and
     a's own set meets them only in the last join, where nothing is shuffled on.
     """
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc")))
-    sets = written(_sets_of(docs, wanted), "sets", compression="uncompressed")
-    left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta"))
-    both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb")), "b").join(left, "a")
+    sets = {x: _sets_of(docs, pairs.select(F.col(x).alias("doc")).distinct()).select(F.col("doc").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab"}
+    both = pairs.join(sets["b"], "b").join(sets["a"], "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,9 +303,62 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    out = written(both.mapInArrow(run, "a long, b long").distinct(), "similar")
-    removed(sets)
-    return out
+    return written(both.mapInArrow(run, "a long, b long").distinct(), "similar")
+
+
+def _and(links: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if links is None else links.union(more)
+
+
+def _classes(shared: DataFrame, links: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+    """``shared`` with each document's class and its token's main one, for tokens that several classes have; those tokens' pivots.
+
+    The main class has most of the token's holders; its pivot is the one whose hash, other in each turn, is least: the
+    same document for most tokens of a group of near copies, and not the shortest, which fewest are similar to.
+    """
+    if links is None:
+        classed = shared.withColumn("class", F.col("doc"))
+    else:
+        known = written(components(links), "known")
+        classed = shared.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("class", F.coalesce("component", "doc")).drop("component")
+    per = classed.groupBy("token", "class").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "n", "doc")).alias("s"))
+    first = F.max(F.struct("c", -F.shiftright("s.h", 1), "class", "s"))
+    main = per.groupBy("token").agg(first.alias("m"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    main = main.select("token", F.col("m.class").alias("main"), F.col("m.s.n").alias("m"), F.col("m.s.doc").alias("a"))
+    return classed.join(main.select("token", "main"), "token"), main.drop("main")
+
+
+def _stars(classed: DataFrame, pivots: DataFrame) -> DataFrame:
+    """For each document the pivot, of another class, with which it shares most tokens, if that is a quarter of its prefix; written."""
+    star = classed.filter("class != main").join(pivots, "token").filter(f"{DEN} * least(m, n) >= {NUM} * greatest(m, n)")
+    size = F.max(F.expr(f"n - ceil({NUM} * n / {DEN}) + greatest(ell, 1)"))
+    star = star.groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), size.alias("size")).filter("4 * c >= size")
+    best = star.groupBy("b").agg(F.max(F.struct("c", -F.col("a"), "a")).alias("x"))
+    return written(best.select("x.a", "b"), "pairs")
+
+
+def _candidates(classed: DataFrame) -> DataFrame:
+    """Pairs of documents of different classes that share as many prefix tokens as the probe asks for; written.
+
+    Tokens have one order, so what two sets share past the last token that both
+    prefixes have is at most what is left of either; pairs that cannot reach the
+    required number that way go too.
+    """
+    side = {x: classed.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "pos", "lev", "ell", "class", "main"))) for x in "xy"}
+    # x is outside its token's main class, y anywhere; pairs of two outsiders come up from both sides and count once.
+    met = side["x"].filter("x_class != x_main").join(side["y"], "token").filter("x_class != y_class and (y_class = y_main or x_doc < y_doc)")
+    x_longer = F.expr("(x_n > y_n) or (x_n = y_n and x_doc > y_doc)")
+
+    def both(c: str) -> tuple:
+        x, y = F.col(f"x_{c}"), F.col(f"y_{c}")
+        return F.when(x_longer, x).otherwise(y), F.when(x_longer, y).otherwise(x)
+
+    (p, s), (pn, sn), (pp, sp), (ell, _), (_, lev) = both("doc"), both("n"), both("pos"), both("ell"), both("lev")
+    met = met.filter((ell > 0) & (lev > 0) & (lev <= ell) & (DEN * sn >= NUM * pn))
+    met = met.select(s.alias("a"), p.alias("b"), ell.alias("ell"), sn.alias("an"), pn.alias("bn"), sp.alias("ap"), pp.alias("bp"))
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("ell", "an", "bn", "ap", "bp")))
+    most = F.col("c") + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1
+    return written(pairs.filter((F.col("c") >= F.col("ell")) & ((NUM + DEN) * most >= NUM * (F.col("an") + F.col("bn")))).select("a", "b"), "pairs")
 
 
 def similar_classes(docs: DataFrame) -> DataFrame:
@@ -273,33 +375,20 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     copies = written(copies, "copies")
 
     prefixes = _prefixes(docs, levels)
-    met = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("lev").alias("i"), F.max("ell").alias("p")).filter("c > 1 and i > 0 and p > 0").select("token")
-    shared = prefixes.join(met, "token", "left_semi").join(copies.select("doc"), "doc", "left_anti")
-    shared = written(shared, "shared", compression="zstd")
+    likely = written(_maybe_shared(prefixes), "prefixes", compression="zstd")
     removed(prefixes)
-
-    # One check for each holder of a token, with the token's smallest holder.
-    pivots = shared.filter("lev > 0").groupBy("token").agg(F.min(F.struct("n", "doc")).alias("s")).select("token", F.col("s.n").alias("m"), F.col("s.doc").alias("a"))
-    star = shared.filter("ell > 0").join(pivots, "token").filter(f"a != doc and {DEN} * m >= {NUM} * n")
-    star = star.groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(F.expr(f"n - ceil({NUM} * n / {DEN}) + ell")).alias("size")).filter("4 * c >= size").select("a", "b")
-    star = written(star, "pairs")
-    links = _verified(star, docs)
-    known = written(components(links), "known")
-
-    # All candidates between different classes.
-    classed = shared.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("class", F.coalesce("component", "doc")).drop("component")
-    per = classed.groupBy("token", "class").agg(F.count(F.lit(1)).alias("c"))
-    main = per.groupBy("token").agg(F.max(F.struct("c", "class")).alias("m"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("token", F.col("m.class").alias("main"))
-    classed = written(classed.join(main, "token"), "classed", compression="zstd")
-    side = {x: classed.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "lev", "ell", "class", "main"))) for x in "xy"}
-    # x is outside its token's main class, y anywhere; pairs of two outsiders come up from both sides and count once.
-    met = side["x"].filter("x_class != x_main").join(side["y"], "token").filter("x_class != y_class and (y_class = y_main or x_doc < y_doc)")
-    x_longer = F.expr("(x_n > y_n) or (x_n = y_n and x_doc > y_doc)")
-    pick = lambda c: (F.when(x_longer, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")), F.when(x_longer, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")))
-    (p, s), (pn, sn), (ell, _), (_, lev) = pick("doc"), pick("n"), pick("ell"), pick("lev")
-    met = met.filter((ell > 0) & (lev > 0) & (lev <= ell) & (DEN * sn >= NUM * pn)).select(s.alias("a"), p.alias("b"), ell.alias("ell"))
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("ell").alias("ell")).filter("c >= ell").select("a", "b").join(star, ["a", "b"], "left_anti")
-    more = _verified(written(pairs, "pairs"), docs)
+    met = likely.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("lev").alias("i"), F.max("ell").alias("p")).filter("c > 1 and i > 0 and p > 0").select("token")
+    shared = likely.join(met, "token", "left_semi").join(copies.select("doc"), "doc", "left_anti")
+    shared = written(shared, "shared", compression="zstd")
+    removed(likely)
+
+    # Two rounds of one check at most for each document, then all candidates between different classes.
+    links = None
+    for turn in range(2):
+        classed, main = _classes(shared, links, turn)
+        links = _and(links, _verified(_stars(classed, main), docs))
+    classed, _ = _classes(shared, links, 0)
+    more = _verified(_candidates(written(classed, "classed", compression="zstd")), docs)
 
     both = components(links.union(more))
     named = full.join(groups, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "rep")
