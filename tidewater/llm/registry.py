@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, media, mixing, ngram_join, packing, quality, token_counts, token_ids
+from . import language_id, line_dedup, lm_scoring, media, mixing, ngram_join, packing, quality, token_counts, token_ids
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op4_token_ids": token_ids.op4_token_ids,

@@ -102,7 +102,7 @@ class Table:
         if (self.size + h.size) * 2 > self.mask:
             live = self.rows >= 0
             old_keys, old_rows = self.keys[live], self.rows[live]
-            self._reset(max(self.bits, int(self.size + h.size).bit_length()) + 2)
+            self._reset(max(self.bits, int(self.size + h.size).bit_length() + 1))
             self._put(old_keys, old_rows)
         self._put(h, new)
         self.size += h.size
