@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
@@ -47,6 +47,8 @@ FLOOR = 0.05
 #: Counters of the frequency estimate, bits of the filters of documents to be verified and of tokens met twice (as powers of two).
 COUNTER_BITS, FILTER_BITS, TOKEN_BITS = 21, 24, 27
 CHUNKS = 32
+#: Rounds in which each document is compared with one pivot.
+TURNS = 2
 
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -313,16 +315,17 @@ def _and(links: DataFrame | None, more: DataFrame) -> DataFrame:
 def _classes(shared: DataFrame, links: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
     """``shared`` with each document's class and its token's main one, for tokens that several classes have; those tokens' pivots.
 
-    The main class has most of the token's holders; its pivot is the one whose hash, other in each turn, is least: the
-    same document for most tokens of a group of near copies, and not the shortest, which fewest are similar to.
+    The main class has most of the token's holders; its pivot is the one whose tokens are most common or, in later
+    turns, whose hash is least, so that most tokens of a group of near copies have the same pivot.
     """
     if links is None:
         classed = shared.withColumn("class", F.col("doc"))
     else:
         known = written(components(links), "known")
         classed = shared.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("class", F.coalesce("component", "doc")).drop("component")
-    per = classed.groupBy("token", "class").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "n", "doc")).alias("s"))
-    first = F.max(F.struct("c", -F.shiftright("s.h", 1), "class", "s"))
+    rank = F.xxhash64("doc", F.lit(turn)).cast("double") if turn else F.col("score")
+    per = classed.groupBy("token", "class").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct(rank.alias("h"), "n", "doc")).alias("s"))
+    first = F.max(F.struct("c", F.col("s.h").alias("h"), "class", "s"))
     main = per.groupBy("token").agg(first.alias("m"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     main = main.select("token", F.col("m.class").alias("main"), F.col("m.s.n").alias("m"), F.col("m.s.doc").alias("a"))
     return classed.join(main.select("token", "main"), "token"), main.drop("main")
@@ -342,9 +345,13 @@ def _candidates(classed: DataFrame) -> DataFrame:
 
     Tokens have one order, so what two sets share past the last token that both
     prefixes have is at most what is left of either; pairs that cannot reach the
-    required number that way go too.
+    required number that way go too.  The same holds for what lies before a shared
+    token: a token of either prefix there that no other class has is not shared, and
+    a pair for which that leaves too few is not even formed.
     """
-    side = {x: classed.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "pos", "lev", "ell", "class", "main"))) for x in "xy"}
+    before = Window.partitionBy("doc").orderBy("pos")
+    classed = classed.withColumn("own", F.col("pos") - F.row_number().over(before) + 1)
+    side = {x: classed.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "pos", "own", "lev", "ell", "class", "main"))) for x in "xy"}
     # x is outside its token's main class, y anywhere; pairs of two outsiders come up from both sides and count once.
     met = side["x"].filter("x_class != x_main").join(side["y"], "token").filter("x_class != y_class and (y_class = y_main or x_doc < y_doc)")
     x_longer = F.expr("(x_n > y_n) or (x_n = y_n and x_doc > y_doc)")
@@ -355,6 +362,10 @@ def _candidates(classed: DataFrame) -> DataFrame:
 
     (p, s), (pn, sn), (pp, sp), (ell, _), (_, lev) = both("doc"), both("n"), both("pos"), both("ell"), both("lev")
     met = met.filter((ell > 0) & (lev > 0) & (lev <= ell) & (DEN * sn >= NUM * pn))
+    # Of either, only as many first tokens count as this pair's own requirement asks for.
+    for x in "xy":
+        met = met.filter((NUM + DEN) * (F.col(f"{x}_n") - F.col(f"{x}_pos") + ell - 1) >= NUM * (F.col("x_n") + F.col("y_n")))
+    met = met.filter((NUM + DEN) * F.least(F.expr("x_n - x_own"), F.expr("y_n - y_own")) >= NUM * (F.col("x_n") + F.col("y_n")))
     met = met.select(s.alias("a"), p.alias("b"), ell.alias("ell"), sn.alias("an"), pn.alias("bn"), sp.alias("ap"), pp.alias("bp"))
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("ell", "an", "bn", "ap", "bp")))
     most = F.col("c") + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1
@@ -381,10 +392,15 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     shared = likely.join(met, "token", "left_semi").join(copies.select("doc"), "doc", "left_anti")
     shared = written(shared, "shared", compression="zstd")
     removed(likely)
+    # How common a document's tokens are: in a group of copies of one text, each edited by itself, that text stands out,
+    # as its tokens are in all copies, and it may be the only one that all of them are similar to.
+    held = shared.join(shared.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
+    score = held.groupBy("doc").agg((F.sum("df") / F.max("n")).alias("score"))
+    shared = written(shared.join(score, "doc"), "shared", compression="zstd")
 
     # Two rounds of one check at most for each document, then all candidates between different classes.
     links = None
-    for turn in range(2):
+    for turn in range(TURNS):
         classed, main = _classes(shared, links, turn)
         links = _and(links, _verified(_stars(classed, main), docs))
     classed, _ = _classes(shared, links, 0)
