@@ -52,7 +52,7 @@ def _png(b: bytes, at: int) -> int:
 
 def _jpeg(b: bytes, at: int) -> int:
     p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
+    while p + 2 <= len(b) and b[p] == 0xFF:
         kind = b[p + 1]
         if kind == 0xFF:
             p += 1
@@ -62,8 +62,10 @@ def _jpeg(b: bytes, at: int) -> int:
         if kind in (0x01, *range(0xD0, 0xD8)):
             p += 2
             continue
+        if kind < 0xC0 or p + 4 > len(b):
+            return 0
         size = struct.unpack_from(">H", b, p + 2)[0]
-        if size < 2 or kind < 0xC0:
+        if size < 2:
             return 0
         p += 2 + size
         if kind == 0xDA:  # compressed data: up to the next marker that is neither stuffing nor a restart

@@ -81,22 +81,19 @@ def features(docs: DataFrame) -> DataFrame:
     return written(out.withColumn("base_failed", failed), "quality")
 
 
-def _ratio(part: str, whole: str) -> Column:
-    return F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole)), F.lit(0.0))
-
-
-#: Rule: the ratio that it watches, and the highest cutoff of its grid.
+#: Rule: the two counts whose ratio it watches, and the highest cutoff of its grid.
 RULES = {
-    "symbols": (_ratio("n_symbols", "word_chars"), 0.5),
-    "shouts": (_ratio("n_shouts", "word_chars"), 0.5),
-    "dup_lines": (_ratio("n_dup_lines", "n_lines"), 1.0),
-    "repeats": (_ratio("n_repeat_words", "n_words"), 0.5),
+    "symbols": ("n_symbols", "word_chars", 0.5),
+    "shouts": ("n_shouts", "word_chars", 0.5),
+    "dup_lines": ("n_dup_lines", "n_lines", 1.0),
+    "repeats": ("n_repeat_words", "n_words", 0.5),
 }
 
 
 def _cell(rule: str) -> Column:
     """The grid cell of a document: it is rejected by cutoff c (cell/CELLS of the highest) if its cell is above c."""
-    ratio, top = RULES[rule]
+    part, whole, top = RULES[rule]
+    ratio = F.coalesce(F.try_divide(F.col(part).cast("double"), F.col(whole)), F.lit(0.0))
     return F.least(F.lit(CELLS), F.ceil(ratio / top * CELLS)).cast("int")
 
 
