@@ -30,7 +30,7 @@ from .common import table, written
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, "mix-1"
 #: Documents that one range should hold at most, on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def n_words(text: Column) -> Column:
