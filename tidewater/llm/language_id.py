@@ -4,8 +4,8 @@ A language is a unigram model over the pieces of a fixed public vocabulary.  The
 probability of a word is the sum over all its segmentations into pieces, computed
 by the forward algorithm over UTF-8 bytes (single bytes are pieces too, so every
 word has one).  Piece probabilities are fitted by expectation-maximisation with the
-forward and backward sums on the words of at most ``per_language`` labelled
-documents of each language, chosen by hash: the one bounded sample here.
+forward and backward sums on the words of about ``per_language`` labelled
+documents of each language at most, chosen by hash: the one bounded sample here.
 
 A text's languages are scored by the sum over all its words.  Words repeat, so a
 worker keeps the language scores of those it has seen; new words of a batch go
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
@@ -141,11 +141,16 @@ def _lower(text: bytes) -> bytes:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """lang, text of at most ``per_language`` documents of each language, first by hash of doc_id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    """lang, text of about ``per_language`` documents of each language at most.
+
+    A document is in the sample if its hash, as a share of all hashes, is below what
+    the language's number of documents asks for, so no language is sorted.
+    """
     ids = docs.filter("lang is not null and doc_id is not null and text is not null").select("lang", "doc_id")
-    chosen = ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select(F.col("doc_id").alias("id"))
-    # A row for each language and place: as few as the sample is large.
+    each = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 31)) / float(1 << 31)
+    chosen = ids.join(each, "lang").filter(share * F.col("n") < per_language).select(F.col("doc_id").alias("id"))
+    # As few rows as the sample is large.
     return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"), "left_semi").select("lang", "text")
 
 
