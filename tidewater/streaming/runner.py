@@ -3,7 +3,7 @@
 Windows on streams are Spark's own, over an event-time column with a watermark, with
 the same bounds as in batch mode: no start before 0, gaps where the advance is longer
 than the size.  Spark keeps the last windows of a finite stream in state; the
-reference's result has them, so ``replay`` ends each source with one row far in the
+batch result has them, so ``replay`` ends each source with one row far in the
 future, which fires them, and drops that row's own window.
 """
 
