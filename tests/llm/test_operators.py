@@ -436,6 +436,53 @@ def test_lm_scoring(spark, docs, plain, tmp_path):
         assert r["score"] < 0
 
 
+def test_lm_scoring_uses_every_count(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    scores = lambda: sorted((r["doc_id"], r["base_score"], r["score"]) for r in lm_scoring.op1_lm_scoring(spark, str(tmp_path)).collect())
+    whole = scores()
+    for limit in ("TRIGRAMS", "BIGRAMS", "PREFIXES", "WORDS"):
+        monkeypatch.setattr(lm_scoring, limit, 3, raising=False)
+    for a, b in zip(whole, scores(), strict=True):
+        assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) and math.isclose(a[2], b[2], rel_tol=1e-5)
+
+
+def test_word_probabilities(spark, docs):
+    train, new = docs.filter("doc_id < 300"), docs.filter("doc_id >= 300")
+    _, counts = lm_scoring.train(train.select("doc_id", "text"), scored=new.select("doc_id", "text"))
+    coder = encode.encoder(lm_scoring.VOCABULARY, encode.BYTE)
+    start, stop, end = (coder.token_len.size + k for k in range(3))
+
+    def spelled(word):
+        y = [*coder.encode([b" " + word.encode()])[0].tolist(), stop] if word else [end]
+        return [((start, start, *y)[k : k + 2], tuple(y[:k]) if k >= 2 else None, x) for k, x in enumerate(y)]
+
+    uni, bi, tri, pre = (collections.Counter() for _ in range(4))
+    for r in train.filter(~lm_scoring.tuning(train.doc_id)).collect():
+        for w in [*words((r["text"] or "").translate(LOWER)), None]:
+            for (x2, x1), before, y in spelled(w):
+                uni[y] += 1
+                bi[x1, y] += 1
+                tri[(x2, x1), y] += 1
+                if before:
+                    pre[before, y] += 1
+
+    def mixed(table, context, y, leave, lower):
+        own = [c for (k, _), c in table.items() if k == context]
+        left = leave * lm_scoring.ALL_LEAVE * len(own)
+        return (table[context, y] + left * lower) / (sum(own) + left) if own else lower
+
+    total, got = sum(uni.values()), {r["h"]: np.frombuffer(r["probs"], np.float32).reshape(-1, lm_scoring.EXPERTS)[:, -1] for r in counts.probs.collect()}
+    flat = 0.5 + 1e-6 * total
+    for word in [None, *sorted({w for r in docs.collect() for w in words((r["text"] or "").translate(LOWER))})[::7]]:
+        want = []
+        for (x2, x1), before, y in spelled(word):
+            p = mixed(bi, x1, y, lm_scoring.LEAVE["bi"], (uni[y] + flat / (end + 1)) / (total + flat))
+            p = mixed(tri, (x2, x1), y, lm_scoring.LEAVE["tri"], p)
+            want.append(mixed(pre, before, y, lm_scoring.LEAVE["pre"], p) if before else p)
+        h = int(lm_scoring.lower_words([word.encode()])[3].view(np.int64)[0]) if word else 0
+        assert np.allclose(got[h], [*want[:-2], want[-2] * want[-1]] if word else want, rtol=1e-4)
+
+
 def test_empty_tables(spark, docs):
     none = docs.filter("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
