@@ -300,6 +300,28 @@ def test_plan_uses_fewest_sequences(lengths):
     assert sum(t for _, t in plan) <= fewest(sorted(lengths, reverse=True), []) + (len(lengths) > 6)
 
 
+def test_plan_finds_perfect_triples():
+    counts = np.bincount([1045, 410, 307, 286] * 1400, minlength=2049)
+    plan = packing.plan(counts)
+    assert sum(t for _, t in plan) == 1400
+    used = collections.Counter()
+    for fill, times in plan:
+        for x in fill:
+            used[x] += times
+    assert used == {1045: 1400, 410: 1400, 307: 1400, 286: 1400}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(2, 12), max_size=9))
+def test_plan_is_the_optimum(lengths):
+    def fits(left, bins):
+        return not left or any(fits(left[1:], [*bins[:k], b - left[0], *bins[k + 1 :]]) for k, b in enumerate(bins) if b >= left[0] and b not in bins[:k])
+
+    left = sorted(lengths, reverse=True)
+    fewest = next(n for n in range(len(left) + 1) if fits(left, [12] * n))
+    assert sum(t for _, t in packing.plan(np.bincount(lengths, minlength=13), 12)) == fewest
+
+
 def png():
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", b"xx") + chunk(b"IEND", b"")

@@ -5,13 +5,15 @@ first; the pieces that are left are packed without cutting.  What decides a
 packing is only how many pieces there are of each length, a histogram as long as
 a sequence however large the corpus is.  The driver solves that:
 
-* the incumbent is best-fit decreasing on the histogram;
-* bin completion takes the longest piece left and enumerates undominated fillings
-  of the room beside it, for each choice of next piece the one with the largest
-  companion, and repeats a filling as often as the histogram allows;
+* the incumbent is best-fit decreasing on the histogram, or what a quick search over
+  few fillings of each room finds;
+* bin completion takes the longest piece left and enumerates all undominated fillings
+  of the room beside it, least waste first, and repeats a filling as often as the
+  histogram allows, then once;
 * a branch is cut when its waste exceeds what a solution with one sequence less
-  than the incumbent may waste; the search ends at the lower bound or after
-  ``max_nodes`` fillings, and the incumbent stands.
+  than the incumbent may waste; the search ends at the lower bound, when nothing is
+  left to try (the incumbent is the optimum), or after ``max_nodes`` fillings or
+  ``STEPS`` times as many steps of their enumeration, and the incumbent stands.
 
 A plan is a list of (filling, how often).  A piece's rank among those of its length
 comes from counts by partition and its place in its partition, so no group of
@@ -25,7 +27,9 @@ ignored.  Ids come from the vocabulary file given by name or path.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,8 @@ from .common import column, slices, table, written
 from .encode import BYTE, encoder
 
 VOCABULARY, END_ID, CAPACITY, MAX_NODES = "byte_bpe_50k.json", 0, 2048, 20_000
+#: Steps of the enumeration for each filling that may be tried.
+STEPS = 20
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -69,12 +75,11 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return [(fill, times) for group in open_.values() for fill, times in group.items()]
 
 
-def _fillings(counts: np.ndarray, below: np.ndarray, room: int, keep: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first, at most ``keep``.
+def _nearest(counts: np.ndarray, below: np.ndarray, room: int, keep: int) -> list[tuple[int, ...]]:
+    """Some fillings of ``room``, least waste first, at most ``keep``, for a first packing.
 
     ``below[r]``: the longest length up to r that is left (0: none).  A filling is
-    built around its longest piece; with equal first pieces, the one whose rest is
-    longest dominates.
+    built around its longest piece; the others are each the longest that fits.
     """
     top = int(below[room])
     if not top:
@@ -107,13 +112,12 @@ def _fillings(counts: np.ndarray, below: np.ndarray, room: int, keep: int) -> li
     return list(dict.fromkeys(out))
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, max_nodes: int = MAX_NODES, branch: int = 3) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings and how often each is used, for ``counts[length]`` pieces of each length."""
-    counts = np.asarray(counts, np.int64).copy()
+def first_plan(counts: np.ndarray, capacity: int, max_nodes: int, branch: int = 3) -> list[tuple[tuple[int, ...], int]]:
+    """The best of best-fit decreasing and of a search over few fillings of each room."""
     incumbent = best_fit(counts, capacity)
     best = sum(t for _, t in incumbent)
     total = int((counts * np.arange(counts.size)).sum())
-    bound = max(-(-total // capacity), int(counts[capacity // 2 + 1 :].sum()))
+    bound = lower_bound(counts, capacity)
     if best == bound:
         return incumbent
     nodes = 0
@@ -131,7 +135,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, max_nodes: int = MAX_NODE
             left[head] -= 1
             size = np.where(left > 0, np.arange(left.size), 0)
             below = np.maximum.accumulate(size)
-            stack.append((_fillings(left, below, capacity - head, branches), head))
+            stack.append((_nearest(left, below, capacity - head, branches), head))
             left[head] += 1
             return True
 
@@ -173,6 +177,126 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, max_nodes: int = MAX_NODE
     return incumbent
 
 
+def _fillings(left: list[int], room: int, spend: Callable[[], bool]) -> Iterator[tuple[int, ...]]:
+    """Every undominated filling of ``room``, least waste first; ends early when ``spend`` says so.
+
+    A filling is dominated if a piece that stays out fits in its place for some of its pieces and is
+    longer than they are together, or as long as two or more.  Sets of sums are the bits of numbers.
+    """
+    lengths = [x for x in range(1, room + 1) if left[x]]
+    if room and left[room]:
+        yield (room,)
+        return
+    if sum(left[x] * x for x in lengths) <= room:
+        yield tuple(x for x in reversed(lengths) for _ in range(left[x]))
+        return
+    full, reach = (1 << (room + 1)) - 1, [1]  # reach[i]: sums of the i shortest lengths
+    for x in lengths:
+        sums, most, step = reach[-1], min(left[x], room // x), 1
+        while most:
+            k = min(step, most)
+            sums |= (sums << (k * x)) & full
+            most, step = most - k, 2 * step
+        reach.append(sums)
+
+    def build(j: int, target: int, fill: tuple[int, ...], one: int, more: int, out: int):
+        """Fillings with ``target`` more of the ``j`` shortest lengths; ``one``, ``more``: sums of one piece, of several; ``out``: lengths that stay out."""
+        if not target:
+            yield fill, one | more, out
+            return
+        for i in range(min(j, bisect_right(lengths, target)) - 1, -1, -1):
+            if not reach[i + 1] >> target & 1:
+                return
+            x = lengths[i]
+            for k in range(min(left[x], target // x), 0, -1):
+                if not reach[i] >> (target - k * x) & 1:
+                    continue
+                if not spend():
+                    return
+                o, m = one, more
+                for _ in range(k):
+                    m |= (o | m) << x
+                    o |= 1 << x
+                rest = out & ~(1 << x) if k == left[x] else out
+                if not m & rest:
+                    yield from build(i, target - k * x, fill + (x,) * k, o, m, rest)
+
+    free = sum(1 << x for x in lengths)
+    for target in range(room, 0, -1):
+        spare = room - target
+        for fill, sums, out in build(len(lengths), target, (), 0, 0, free):
+            cover, width = (sums | 1) << 1, 1  # what up to ``spare`` more than some of its pieces, or none, comes to
+            while width < spare:
+                k = min(width, spare - width)
+                cover |= cover << k
+                width += k
+            if not (spare and cover & out):
+                yield fill
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings and how often each is used, for ``counts[length]`` pieces of each length."""
+    counts = np.asarray(counts, np.int64)
+    incumbent = first_plan(counts, capacity, max_nodes)
+    best = sum(t for _, t in incumbent)
+    total = int((counts * np.arange(counts.size)).sum())
+    bound = lower_bound(counts, capacity)
+    left: list[int] = counts.tolist() + [0] * (capacity + 1 - counts.size)
+    chosen: list[tuple[tuple[int, ...], int]] = []
+    wasted = nodes = steps = 0
+
+    def spend() -> bool:
+        nonlocal steps
+        steps += 1
+        return steps <= STEPS * max_nodes
+
+    def moves() -> Iterator[tuple[tuple[int, ...], int]]:
+        head = max(x for x in range(capacity + 1) if left[x])
+        own = left.copy()
+        own[head] -= 1
+        for fill in _fillings(own, capacity - head, spend):
+            fill = (head, *fill)
+            times = min(left[x] // n for x, n in Counter(fill).items())
+            yield fill, times
+            if times > 1:  # any number between follows from single ones
+                yield fill, 1
+
+    stack = [moves()] if best > bound else []
+    while stack and best > bound:
+        if len(chosen) == len(stack):  # coming back from below
+            fill, times = chosen.pop()
+            for x in fill:
+                left[x] += times
+            wasted -= times * (capacity - sum(fill))
+        fill, times = next(stack[-1], ((), 0)) if nodes < max_nodes else ((), 0)
+        waste, may = capacity - sum(fill), (best - 1) * capacity - total - wasted
+        if waste and times:
+            times = min(times, max(0, may) // waste)
+        if not times:  # the next ones waste as much or more
+            stack.pop()
+            continue
+        nodes += 1
+        for x in fill:
+            left[x] -= times
+        wasted += times * waste
+        chosen.append((fill, times))
+        if any(left):
+            stack.append(moves())
+            continue
+        used = sum(t for _, t in chosen)
+        if used < best:
+            best, incumbent = used, list(chosen)
+        stack.append(iter(()))
+    return incumbent
+
+
+def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """No packing has fewer sequences: all ids together, or the pieces of which no two fit in one."""
+    counts = np.asarray(counts, np.int64)
+    total = int((counts * np.arange(counts.size)).sum())
+    return max(-(-total // capacity), int(counts[capacity // 2 + 1 :].sum()))
+
+
 def _lookup(fills: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[str, np.ndarray]:
     """Runs of ranks by length: ranks from ``rank`` on lie at ``offset`` in sequences from ``sequence`` on."""
     rows, used, sequence = [], np.zeros(capacity + 1, np.int64), 0
