@@ -277,6 +277,19 @@ def test_packing(docs, plain):
     assert len(by) <= -(-sum(r["length"] for r in rows) // 2048) + 1
 
 
+def test_mp4_boxes():
+    box = lambda kind, body, size=None: struct.pack(">I4s", len(body) + 8 if size is None else size, kind) + body
+    start = box(b"ftyp", b"isom\0\0\2\0") + box(b"moov", b"\1" * 40)
+    long = struct.pack(">I4sQ", 1, b"mdat", 516) + b"\2" * 500
+    assert media._mp4(start + box(b"mdat", b"\2" * 500) + b"ABCDEFGH and text", 0) == len(start) + 508
+    assert media._mp4(start + long + b"ABCDEFGH and text", 0) == len(start + long)
+    assert media._mp4(start + box(b"mdat", b"\2" * 500, 0), 0) == len(start) + 508
+    for whole in (start + long, start + box(b"mdat", b"\2" * 500), box(b"ftyp", b"isom\0\0\2\0") + long + start[16:]):
+        assert media._mp4(whole, 0) == len(whole)
+        assert media._mp4(whole[:-20], 0) == 0
+    assert media._mp4(start + long[:12], 0) == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 12), max_size=9))
 def test_plan_uses_fewest_sequences(lengths):

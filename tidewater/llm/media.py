@@ -176,11 +176,26 @@ def _pdf(b: bytes, at: int) -> int:
     return end + 5 - at
 
 
+#: Boxes at the top of an MP4: what claims to be one and runs past the data is cut off, anything else is what follows the object.
+_BOXES = frozenset(b"ftyp styp moov moof mdat meta free skip wide uuid sidx ssix mfra pdin prft emsg imda".split())
+
+
 def _mp4(b: bytes, at: int) -> int:
     p, moov = at, False
     while p + 8 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, p)
-        if size < 8 or p + size > len(b) or not kind.isalnum():
+        head = 8
+        if kind in _BOXES and size == 1:  # a 64-bit length follows
+            if p + 16 > len(b):
+                return 0
+            (size,), head = struct.unpack_from(">Q", b, p + 8), 16
+        elif kind in _BOXES and size == 0:  # up to the end
+            size = len(b) - p
+        if size < head or not kind.isalnum():
+            break
+        if p + size > len(b):
+            if kind in _BOXES:
+                return 0
             break
         moov |= kind in (b"moov", b"moof", b"meta")
         p += size
