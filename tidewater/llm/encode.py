@@ -49,7 +49,7 @@ def _classes(buf: np.ndarray, size: int) -> np.ndarray:
 class PieceEncoder:
     """``mode``: WORD for a tokenizer that drops white space, BYTE for one that keeps every byte."""
 
-    def __init__(self, path: str, mode: str, most: int = 1_500_000):
+    def __init__(self, path: str, mode: str, most: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.mode, self.most = mode, most
@@ -68,7 +68,10 @@ class PieceEncoder:
             self.token_len[i] = len(token.removesuffix("</w>") if mode == WORD else token)
         codes = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         rest = [b for b in range(256) if b not in set(codes)]
-        self.byte_chars = {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.code_points = np.arange(256, dtype="<u4")
+        self.code_points[rest] = 256 + np.arange(len(rest))
+        self.space = chr(self.code_points[32])  # what a space is in the vocabulary
+        self.code_points[10] = 32  # a newline parts pieces that hold none
         self.clear()
 
     def clear(self) -> None:
@@ -117,20 +120,31 @@ class PieceEncoder:
             self.clear()
         h = wh.hash_spans(buf, starts, lens)
         check = wh.first8(buf, starts, lens) * np.uint64(31) + lens.astype(np.uint64)
+        rows = self._find(h, check)
+        while (miss := np.flatnonzero(rows < 0)).size:  # again only for pieces that share a hash
+            got, first = np.unique(h[miss], return_index=True)
+            at = miss[first]
+            taken = self.table.find(got) >= 0
+            self._learn(buf, starts[at], lens[at], check[at], np.where(taken, wh.mix(got ^ check[at]), got))
+            rows[miss] = self._find(h[miss], check[miss])
+        return rows
+
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The memo's row of each piece, -1 if it is not there; a piece whose hash another one has is kept under a second hash."""
         rows = self.table.find(h)
-        miss = np.flatnonzero(rows < 0)
-        if miss.size:
-            got, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            self._learn(buf, starts[miss[first]], lens[miss[first]], check[miss[first]], got)
-            rows[miss] = (self.table.size - got.size + back).astype(np.int32)
-        if not np.array_equal(self.check[rows], check):
-            raise RuntimeError("two pieces share a 64-bit hash")
+        other = np.flatnonzero((rows >= 0) & (self.check[rows] != check))
+        if other.size:
+            again = self.table.find(wh.mix(h[other] ^ check[other]))
+            again[(again >= 0) & (self.check[again] != check[other])] = -1
+            rows[other] = again
         return rows
 
     def _learn(self, buf, starts, lens, check, h) -> None:
         rows = self.table.add(h)
+        for name in ("check", "starts", "lens"):
+            setattr(self, name, _grown(getattr(self, name), self.table.size))
+        self.check[rows] = check
         data = buf.tobytes()
-        out: list = [None] * len(rows)
         plain = _classes(buf, buf.size - wh.PAD)
         body = starts + ((buf[starts] == 32) & (lens > 1) if self.mode == BYTE else 0)
         ends = starts + lens
@@ -138,38 +152,32 @@ class PieceEncoder:
         easy = (odd[ends] - odd[body] == 0) & (ends > body) & (lens < 64)
         fast, slow = np.flatnonzero(easy), np.flatnonzero(~easy)
         if fast.size:
-            self._fast(data, starts[fast], lens[fast], fast, out)
+            self._keep(rows[fast], *self._fast([data[s:e] for s, e in zip(starts[fast].tolist(), ends[fast].tolist())], lens[fast]))
         if slow.size:
-            texts = [data[s : s + n].decode() for s, n in zip(starts[slow].tolist(), lens[slow].tolist())]
-            for k, e in zip(slow.tolist(), self.full.encode_batch_fast(texts, add_special_tokens=False)):
-                out[k] = e.ids
-        counts = np.fromiter(map(len, out), np.int32, len(out))
-        flat = np.fromiter((i for x in out for i in x), np.int32, int(counts.sum()))
-        self.check = _grown(self.check, self.table.size)
-        self.starts = _grown(self.starts, self.table.size)
-        self.lens = _grown(self.lens, self.table.size)
-        self.ids = _grown(self.ids, self.used + flat.size)
-        self.check[rows] = check
+            texts = [data[s:e].decode() for s, e in zip(starts[slow].tolist(), ends[slow].tolist())]
+            found = [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+            self._keep(rows[slow], np.array([i for x in found for i in x], np.int32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _keep(self, rows: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.ids = _grown(self.ids, self.used + ids.size)
+        self.ids[self.used : self.used + ids.size] = ids
         self.lens[rows] = counts
         self.starts[rows] = self.used + np.cumsum(counts) - counts
-        self.ids[self.used : self.used + flat.size] = flat
-        self.used += flat.size
-
-    def _fast(self, data, starts, lens, at, out, step: int = 400) -> None:
-        """Pieces of letters only (after one space at most): the library's model without its patterns."""
-        parts = [data[s : s + n] for s, n in zip(starts.tolist(), lens.tolist())]
-        if self.mode == WORD:
-            parts = [p.decode().lower().encode() for p in parts]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        chars = [p.decode("latin-1").translate(self.byte_chars) for p in parts]
-        joined = [" ".join(chars[i : i + step]) for i in range(0, len(chars), step)]
-        for k, e in enumerate(self.bare.encode_batch_fast(joined, add_special_tokens=False)):
+        self.used += ids.size
+
+    def _fast(self, parts: list[bytes], lens: np.ndarray, step: int = 400) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many each part has, of parts of letters only (after one space at most): the library's model without its patterns."""
+        joined = [b"\n".join(parts[i : i + step]) for i in range(0, len(parts), step)]
+        if self.mode == WORD:  # letters of Latin-1 keep their length
+            joined = [x.decode().lower().encode() for x in joined]
+        found, counts = [], []
+        texts = [self.code_points[np.frombuffer(x, np.uint8)].tobytes().decode("utf-32-le") for x in joined]
+        for k, e in enumerate(self.bare.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, np.int32)
-            ends = np.searchsorted(np.cumsum(self.token_len[ids]), np.cumsum(sizes[k * step : k * step + step])) + 1
-            ids, lo = ids.tolist(), 0
-            for j, hi in enumerate(ends.tolist(), k * step):
-                out[at[j]] = ids[lo:hi]
-                lo = hi
+            ends = np.searchsorted(np.cumsum(self.token_len[ids]), np.cumsum(lens[k * step : k * step + step])) + 1
+            found.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        return np.concatenate(found), np.concatenate(counts)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and each text's first place with a final end."""

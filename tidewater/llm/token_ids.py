@@ -36,7 +36,7 @@ from .encode import WORD, encoder
 MAGIC = b"TWT1"
 HEAD = struct.Struct("<4sIQIQ")
 #: Ids after which a block is closed.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 
 #: The four lengths that each control byte stands for.
@@ -73,8 +73,9 @@ def encode_block(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def decode_block(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+def decode_block(block: bytes | memoryview) -> tuple[list, np.ndarray, np.ndarray]:
     """Doc ids, ids per document and all ids; ValueError if the block is damaged."""
+    block = memoryview(block)
     magic, docs, n, ranked, size = HEAD.unpack_from(block)
     if magic != MAGIC or zlib.crc32(block[:-4]) != struct.unpack("<I", block[-4:])[0]:
         raise ValueError("not a whole token block")
@@ -88,8 +89,9 @@ def decode_block(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
     doc_ids, nulls, counts = take("<i8", docs), take("u1", docs), take("<u8", docs).astype(np.int64)
     by_rank, control, data = take("<u4", ranked), take("u1", -(-n // 4)), take("u1", size)
-    lens = LENGTHS[control].reshape(-1)[:n].astype(np.int64)
-    starts = np.cumsum(lens) - lens
+    lens = LENGTHS[control].reshape(-1)[:n]
+    starts = np.cumsum(lens, dtype=np.int64)
+    starts -= lens
     values = data[starts].astype(np.uint32)
     for k in range(1, 4):
         longer = np.flatnonzero(lens > k)
@@ -132,11 +134,11 @@ def write_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
 
     spark = docs.sparkSession
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return written(dealt.mapInArrow(blocks, "shard int, block long, before long, n_docs long, n_tokens long, payload binary"), "token-ids", compression="uncompressed")
+    return written(dealt.mapInArrow(blocks, "shard int, block long, before long, n_docs long, n_tokens long, payload binary"), "token-ids", texts=True, compression="uncompressed")
 
 
-def read_blocks(blocks: DataFrame) -> DataFrame:
-    """Decodes written blocks: doc_id, start, n_tokens, ids_crc32 and the ids themselves, in blocks' order.
+def read_blocks(blocks: DataFrame, ids: bool = True) -> DataFrame:
+    """Decodes written blocks: doc_id, start, n_tokens, ids_crc32 and, if ``ids``, the ids themselves, in blocks' order.
 
     The prefix sum has two levels: blocks know their place in their shard, and the
     totals of shards (as many as partitions) are summed on the driver.
@@ -149,18 +151,21 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
     start = F.lit(0).cast("long")
     if base:
         start = F.element_at(F.from_json(F.lit("{" + ",".join(f'"{k}":{v}' for k, v in base.items()) + "}"), "map<string,bigint>"), F.col("shard").cast("string"))
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, block in zip(column(batch, "start").to_pylist(), column(batch, "payload")):
-                doc_ids, counts, ids = decode_block(block.as_py())
+                doc_ids, counts, decoded = decode_block(block.as_buffer())
                 ends = np.cumsum(counts)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(decoded.astype("<u4", copy=False)).cast("B")
                 sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist())]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(first + ends - counts), pa.array(counts), pa.array(sums, pa.int64()), lists], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                cols = [pa.array(doc_ids, pa.int64()), pa.array(first + ends - counts), pa.array(counts), pa.array(sums, pa.int64())]
+                if ids:
+                    cols.append(pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends])), pa.array(decoded.view(np.int32))).cast(pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * ids])
 
-    return blocks.select((start + F.col("before")).alias("start"), "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return blocks.select((start + F.col("before")).alias("start"), "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_blocks(write_blocks(table(spark, sf_dir, "documents"))).drop("ids")
+    return read_blocks(write_blocks(table(spark, sf_dir, "documents")), ids=False)
