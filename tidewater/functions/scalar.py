@@ -116,14 +116,29 @@ def _strings(n: int, result: str, op: Callable) -> Scalar:
     return Scalar(infer, lambda call, kinds, cols: op(*cols))
 
 
+#: From here on every float is whole.
+_WHOLE = float(1 << 52)
+
+
 def _whole(op: Callable) -> Callable:
-    """Rounding keeps a float's type; integers are whole already."""
-    return lambda c, k: op(c).cast(k.spark) if k.is_float else c
+    """Rounding keeps a float's type; integers are whole already, as are large floats, infinities and NaN (which is above all numbers here)."""
+    return lambda c, k: F.when(F.abs(c) < _WHOLE, op(c.cast("double"))).otherwise(c.cast("double")).cast(k.spark) if k.is_float else c
+
+
+def _floor(c: Column) -> Column:
+    return F.when(c == 0, c).otherwise(F.floor(c).cast("double"))
+
+
+def _ceil(c: Column) -> Column:
+    # Above -1 and below 0 it is -0.0.
+    return F.when(c == 0, c).otherwise(-F.floor(-c).cast("double"))
 
 
 def _round(c: Column) -> Column:
     # Half away from zero, as in C; Spark's round goes by decimal digits of the printed number.
-    return F.signum(c) * F.floor(F.abs(c) + 0.5).cast("double")
+    size = F.abs(c)
+    down = F.floor(size).cast("double")
+    return F.signum(c) * (down + F.when(size - down >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
 def _unpacked(c: Column) -> Column:
@@ -208,8 +223,8 @@ REGISTRY: dict[str, Scalar] = {
     "DIV": _division(False),
     "MOD": _division(True),
     "ABS": _same_type(lambda c, k: c if k.unsigned else F.abs(c)),
-    "CEIL": _same_type(_whole(F.ceil)),
-    "FLOOR": _same_type(_whole(F.floor)),
+    "CEIL": _same_type(_whole(_ceil)),
+    "FLOOR": _same_type(_whole(_floor)),
     "ROUND": _same_type(_whole(_round)),
     "SQRT": _to_double(1, F.sqrt),
     "POW": _to_double(2, F.pow),

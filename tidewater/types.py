@@ -111,7 +111,9 @@ def convert(c: Column, have: DType, want: DType) -> Column:
         return c
     if want.is_float:
         value = as_double(c, have) if have.name == "UINT64" else c
-        return value.cast(want.spark)
+        out = value.cast(want.spark)
+        # The product keeps Spark from leaving FLOAT32 out where a wider float follows.
+        return out * F.lit(1.0).cast(want.spark) if want.name == "FLOAT32" and have.bits >= 32 and have.is_integer else out
     if not (have.is_numeric and want.is_numeric):
         raise TypeMismatch(f"{have.name} does not convert to {want.name}")
     c = c.cast("long")
