@@ -78,5 +78,9 @@ class UnknownModel(EngineError):
     code = 2040
 
 
+class LateRow(EngineError):
+    code = 3014
+
+
 #: Codes of errors that rows raise while a query runs.
-ARITHMETIC, LATE, FORMAT = 3013, 3014, 4003
+ARITHMETIC, FORMAT = 3013, 4003

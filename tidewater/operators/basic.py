@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import functions as F
+
 from ..errors import SchemaError
 from ..functions import Expr
 from ..functions import Field as FieldExpr
-from ..plans import Relation
+from ..plans.relation import LAST, Relation, ended
 from ..types import Field, Schema, c_semantics
 
 #: Stands for all fields of the input in a projection.
@@ -27,7 +29,7 @@ def project(rel: Relation, items: list[tuple[Expr | str, str | None]]) -> Relati
                 fields.append(Field(n, e.type(rel.schema)))
                 columns.append(e.column(rel.schema).alias(n))
         schema = Schema(tuple(fields))
-        return Relation(rel.df.select(*columns), schema)
+        return Relation(rel.df.select(*ended(rel.df, columns, fields)), schema)
 
 
 def filter_(rel: Relation, predicate: Expr) -> Relation:
@@ -36,7 +38,8 @@ def filter_(rel: Relation, predicate: Expr) -> Relation:
     if kind.name != "BOOLEAN":
         raise SchemaError(f"a selection needs a boolean, not {kind.name}")
     with c_semantics(rel.spark):
-        return Relation(rel.df.filter(predicate.column(rel.schema)), rel.schema)
+        keep = predicate.column(rel.schema)
+        return Relation(rel.df.filter(F.col(LAST) | keep if LAST in rel.df.columns else keep), rel.schema)
 
 
 def union(rels: list[Relation]) -> Relation:

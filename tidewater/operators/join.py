@@ -1,21 +1,30 @@
 """Windowed joins: rows match if they share a window and the predicate holds, once for each window they share.
 
-Both sides get their windows and are joined on the window's start, so every
-predicate, also one without an equality, is an equi-join for Spark, and outer joins
-fill nulls for each window.
+Both sides get their windows and are joined on the window's start and the
+predicate's equalities, and outer joins fill nulls for each window.  A predicate
+without an equality leaves the window alone as the key, and one window may hold most
+rows: its rows of one side are dealt to parts by a hash, and the other side's are
+copied to each part.  An inner join on one equality or another is the union of both
+joins, the second without what the first has found.
+
+On streams both sides need a watermark, which ``Engine`` adds; windows are then
+Spark's own, by which it knows when an outer row has waited long enough.
 """
 
 from __future__ import annotations
 
 from enum import Enum
 
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidSyntax, JoinError, SchemaError
-from ..functions import Expr
-from ..plans import Relation
+from ..functions import Call, Expr
+from ..plans.relation import LAST, LAST_MS, Relation
 from ..types import Field, Schema, c_semantics
-from .windowed import BOUND, END, START, Window, assign, event_time
+from .windowed import BOUND, END, START, Window, assign, event_time, spans, with_watermark
 
 
 class JoinKind(Enum):
@@ -25,7 +34,34 @@ class JoinKind(Enum):
     FULL = "full"
 
 
-def window_join(left: Relation, right: Relation, on: Expr, window: Window, kind: JoinKind = JoinKind.INNER) -> Relation:
+def _parts(on: Expr, name: str) -> list[Expr]:
+    """The operands of nested calls of AND or OR."""
+    if isinstance(on, Call) and on.name.upper() == name:
+        return [p for a in on.args for p in _parts(a, name)]
+    return [on]
+
+
+def _equates(on: Expr, left: Schema, right: Schema) -> bool:
+    """Whether ``on`` has an equality between an expression of each side."""
+    for p in _parts(on, "AND"):
+        if isinstance(p, Call) and p.name.upper() == "EQUALS":
+            a, b = (x.fields() for x in p.args)
+            for x, y in ((a, b), (b, a)):
+                if x and y and x <= set(left.names) and y <= set(right.names):
+                    return True
+    return False
+
+
+def _dealt(l: DataFrame, r: DataFrame, kind: JoinKind, parts: int) -> tuple[DataFrame, DataFrame]:  # noqa: E741
+    """Both sides with a further key: rows of the preserved side in one of ``parts``, those of the other in each."""
+    one, each = (r, l) if kind is JoinKind.RIGHT else (l, r)
+    mine, theirs = ("__rp", "__lp") if kind is JoinKind.RIGHT else ("__lp", "__rp")
+    one = one.withColumn(mine, F.pmod(F.xxhash64(*(f"`{c}`" for c in one.columns)), F.lit(parts)).cast("int"))
+    each = each.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return (each, one) if kind is JoinKind.RIGHT else (one, each)
+
+
+def window_join(left: Relation, right: Relation, on: Expr, window: Window, kind: JoinKind = JoinKind.INNER, delay_ms: int = 0) -> Relation:
     """start, end, all left fields, all right fields; the side that may be missing becomes nullable."""
     if len(window.time) != 2:
         raise InvalidSyntax("a windowed join has two time fields")
@@ -41,11 +77,41 @@ def window_join(left: Relation, right: Relation, on: Expr, window: Window, kind:
         raise JoinError("an outer join needs a predicate over fields")
     times = window.time if window.time[0] in left.schema else window.time[::-1]
     with c_semantics(left.spark):
-        l = assign(left.df, event_time(left, times[0]), window.size, window.slide, "__ls", "__le").drop("__le")  # noqa: E741
-        r = assign(right.df, event_time(right, times[1]), window.size, window.slide, "__rs", "__re").drop("__re")
-        joined = l.join(r, (F.col("__ls") == F.col("__rs")) & on.column(schema), kind.value)
+        at = event_time(left, times[0]), event_time(right, times[1])
+        streams = left.df.isStreaming, right.df.isStreaming
+        if any(streams):
+            if not all(streams):
+                raise JoinError("a stream joins a stream")
+            l, r = (spans(with_watermark(rel, t, delay_ms).drop(LAST), window, name) for rel, t, name in zip((left, right), times, ("__ls", "__rs")))  # noqa: E741
+        else:
+            l = assign(left.df, at[0], window.size, window.slide, "__ls", "__le").drop("__le")  # noqa: E741
+            r = assign(right.df, at[1], window.size, window.slide, "__rs", "__re").drop("__re")
+        same = F.col("__ls") == F.col("__rs")
+        branches = _parts(on, "OR")
+        if kind is JoinKind.INNER and len(branches) > 1 and all(_equates(b, left.schema, right.schema) for b in branches):
+            joined, found = None, F.lit(False)
+            for b in branches:
+                own = b.column(schema)
+                part = l.join(r, same & own & ~found, "inner")
+                joined = part if joined is None else joined.union(part)
+                found = found | F.coalesce(own, F.lit(False))
+        else:
+            key = same & on.column(schema)
+            if any(streams):  # Spark's joins of streams take null keys for equal
+                key = key & F.coalesce(on.column(schema), F.lit(False))
+            parts = 1 if any(streams) or kind is JoinKind.FULL or _equates(on, left.schema, right.schema) else math.isqrt(int(left.spark.conf.get("spark.sql.shuffle.partitions")))
+            if parts > 1:
+                l, r = _dealt(l, r, kind, parts)  # noqa: E741
+                key = (F.col("__lp") == F.col("__rp")) & key
+            joined = l.join(r, key, kind.value)
         start = {JoinKind.RIGHT: F.col("__rs"), JoinKind.FULL: F.coalesce("__ls", "__rs")}.get(kind, F.col("__ls"))
+        if any(streams):
+            start = F.unix_millis(start["start"])
+        if any(streams):
+            joined = joined.filter("coalesce(__lsb, 0) + coalesce(__rsb, 0) >= 0")
         out = joined.select(start.alias(START), (start + window.size).alias(END), *(f"`{n}`" for n in schema.names))
+        if any(streams):
+            out = out.filter(F.col(END) <= LAST_MS)
     may_miss = {JoinKind.LEFT: (False, True), JoinKind.RIGHT: (True, False), JoinKind.FULL: (True, True)}.get(kind, (False, False))
     fields = [Field(f.name, f.type.but(f.type.nullable or miss)) for rel, miss in zip((left, right), may_miss) for f in rel.schema.fields]
     return Relation(out, Schema((Field(START, BOUND), Field(END, BOUND), *fields)))

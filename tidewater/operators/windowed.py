@@ -3,9 +3,13 @@
 Windows are ``[k*slide, k*slide + size)`` for k >= 0, in milliseconds since 1970.
 Aggregation over overlapping windows groups rows into panes first: a pane is as long
 as the greatest common divisor of size and slide, so every window is a run of whole
-panes.  Rows are then aggregated once, whatever the overlap, and only the panes'
-partial results are copied into windows.  MEDIAN has no partial result of bounded
-size, so its rows are copied instead.
+panes.  Rows are then aggregated once, whatever the overlap.  Where few windows
+overlap, the panes' partial results are copied into windows.  Where many do, nothing
+is copied: time is cut into blocks as long as a window, so a window is the end of one
+block and the beginning of the next; running results from both ends of each block
+give every window in two parts, and a window is made once by each.  A block of one key
+has a bounded number of panes, so no key, however frequent, meets in one task.
+MEDIAN has no partial result of bounded size, so its rows are copied instead.
 """
 
 from __future__ import annotations
@@ -14,17 +18,22 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from ..errors import InvalidSyntax, SchemaError, StampError
 from ..functions import Expr, cast
 from ..functions import Field as FieldExpr
-from ..plans import Relation
+from ..plans.relation import LAST_MS, Relation
 from ..types import DType, Field, Schema, as_double, c_semantics, convert, ordered
 
 START, END = "START", "END"
 UNITS = {"MS": 1, "SEC": 1000, "MINUTE": 60_000, "HOUR": 3_600_000, "DAY": 86_400_000}
 BOUND = DType("UINT64", False)
+#: The column that holds a stream's event time as a timestamp with a watermark.
+WATERMARK = "__time"
+#: Windows that hold a pane, from which on panes are not copied into them.
+MANY = 5
 
 
 @dataclass(frozen=True)
@@ -127,16 +136,51 @@ def _kinds(rel: Relation, aggs: list[Aggregate]) -> list[tuple[Aggregate, _Kind,
     return out
 
 
-def window_aggregate(rel: Relation, window: Window, keys: list[str], aggs: list[Aggregate], panes: bool | None = None) -> Relation:
+def with_watermark(rel: Relation, time: str | None, delay_ms: int = 0) -> DataFrame:
+    """A stream with its event time as a timestamp, ``WATERMARK``, and the watermark on it; the least over all sources governs."""
+    return rel.df.withColumn(WATERMARK, F.timestamp_millis(event_time(rel, time))).withWatermark(WATERMARK, f"{delay_ms} milliseconds")
+
+
+def spans(df: DataFrame, window: Window, name: str) -> DataFrame:
+    """A stream's rows with watermark, once for each window that holds their time; the window is Spark's own struct ``name``."""
+    gap = window.slide > window.size
+    # By the column that has the watermark, so that no row is left out before the watermark has seen it.
+    at = F.unix_millis(WATERMARK)
+    inside = at.isNotNull() & (at >= 0)
+    df = df.filter(inside & (at % window.slide < window.size) if gap else inside)
+    out = df.withColumn(name, F.window(WATERMARK, f"{window.slide if gap else window.size} milliseconds", f"{window.slide} milliseconds"))
+    # What Spark does not know to be the same each time it does not move selections below.
+    return out.filter(F.unix_millis(F.col(f"{name}.start")) >= 0).drop(WATERMARK).withColumn(f"{name}b", F.rand())
+
+
+def _aggregate_stream(rel: Relation, window: Window, keys: list[str], kinds: list, schema: Schema, delay_ms: int) -> Relation:
+    """The same windows as Spark's streaming aggregation: a window comes out when the watermark has passed its end."""
+    time = window.time[0] if window.time else None
+    df = with_watermark(rel, time, delay_ms)
+    inputs = [(F.lit(1) if a.arg is None else a.arg.column(rel.schema)).alias(f"__x{i}") for i, (a, _, _) in enumerate(kinds)]
+    rows = spans(df.select(WATERMARK, *(F.col(f"`{k}`") for k in keys), *inputs), window, "__w")
+    partial = [(f"__p{i}_{j}", p) for i, (_, k, t) in enumerate(kinds) for j, p in enumerate(k.partial(F.col(f"__x{i}"), t))]
+    grouped = _agg(rows.groupBy("__w", *(f"`{k}`" for k in keys)), [*partial, ("__wb", F.max("__wb"))]).filter("__wb >= 0")
+    start = F.unix_millis("__w.start")
+    finals = [k.final([F.col(f"__p{i}_{j}") for j in range(len(k.partial(F.lit(1), t)))], t).cast(k.result(t).spark).alias(a.alias) for i, (a, k, t) in enumerate(kinds)]
+    out = grouped.select(start.alias(START), (start + window.size).alias(END), *(f"`{k}`" for k in keys), *finals)
+    return Relation(out.filter(F.col(END) <= LAST_MS), schema)
+
+
+def window_aggregate(rel: Relation, window: Window, keys: list[str], aggs: list[Aggregate], panes: bool | None = None, delay_ms: int = 0) -> Relation:
     """One row for each window and key that has rows: start, end, keys, aggregates.
 
     Without aggregates, the windows and keys themselves.  ``panes``: force pane
     pre-aggregation on or off; by default it is on where windows overlap.
+    ``delay_ms``: how far a stream's watermark stays behind its latest time.
     """
     if len(window.time) > 1:
         raise InvalidSyntax("an aggregation has one time field")
     kinds = _kinds(rel, aggs)
     schema = Schema((Field(START, BOUND), Field(END, BOUND), *(Field(k, rel.schema[k]) for k in keys), *(Field(a.alias, k.result(t)) for a, k, t in kinds)))
+    if rel.df.isStreaming:
+        with c_semantics(rel.spark):
+            return _aggregate_stream(rel, window, keys, kinds, schema, delay_ms)
     splits = all(k.merge for _, k, _ in kinds)
     if panes is None:
         panes = window.slide < window.size
@@ -153,7 +197,12 @@ def window_aggregate(rel: Relation, window: Window, keys: list[str], aggs: list[
             rows = _agg(rows, partial)
             partial = [(f"__p{i}_{j}", m) for i, (_, k, t) in enumerate(kinds) for j, m in enumerate(k.merge([F.col(f"__p{i}_{n}") for n in range(len(k.partial(F.lit(1), t)))]))]
         # The bounds go into names that no field has, as a field may be called START itself.
-        placed = assign(rows, F.col("__at"), window.size, window.slide, "__start", "__end")
+        if panes and window.size >= MANY * window.slide and partial:
+            merge = lambda names: [m for i, (_, k, t) in enumerate(kinds) for m in k.merge(names[i])]
+            parts = [[f"__p{i}_{n}" for n in range(len(k.partial(F.lit(1), t)))] for i, (_, k, t) in enumerate(kinds)]
+            placed = _by_blocks(rows, key_cols, parts, merge, window.size, window.slide).withColumn("__end", F.col("__start") + window.size)
+        else:
+            placed = assign(rows, F.col("__at"), window.size, window.slide, "__start", "__end")
         grouped = _agg(placed.groupBy("__start", "__end", *key_cols), partial)
         finals = []
         for i, (a, k, t) in enumerate(kinds):
@@ -163,6 +212,34 @@ def window_aggregate(rel: Relation, window: Window, keys: list[str], aggs: list[
     return Relation(out, schema)
 
 
+def _aligned(low: Column, high: Column, slide: int) -> Column:
+    """The multiples of ``slide`` from ``low`` (0 at least) to ``high``, as an array."""
+    low = F.greatest(low, F.lit(0).cast("long"))
+    first = low + F.pmod(-low, F.lit(slide).cast("long"))
+    return F.when(first <= high, F.sequence(first, high, F.lit(slide).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _by_blocks(panes: DataFrame, keys: list[str], parts: list[list[str]], merge, size: int, slide: int) -> DataFrame:
+    """__start and partial results of windows, each window in one part or two, from panes (__at, keys, partial results)."""
+    names = [n for p in parts for n in p]
+    at, block = F.col("__at"), F.col("__at") - F.col("__at") % size
+    panes = panes.withColumn("__block", block)
+    order = Over.partitionBy("__block", *keys).orderBy("__at")
+    up = order.rowsBetween(Over.unboundedPreceding, 0)
+    down = Over.partitionBy("__block", *keys).orderBy(F.desc("__at")).rowsBetween(Over.unboundedPreceding, 0)
+    cols = [[F.col(n) for n in p] for p in parts]
+    head = [m.over(up).alias(f"{n}h") for m, n in zip(merge(cols), names)]
+    tail = [m.over(down).alias(f"{n}t") for m, n in zip(merge(cols), names)]
+    panes = panes.select("__block", "__at", *keys, F.lag("__at").over(order).alias("__before"), F.lead("__at").over(order).alias("__next"), *head, *tail)
+    # Windows that begin in this block, after the pane before this one: from this pane to the block's end.
+    begun = _aligned(F.coalesce(F.col("__before") + 1, F.col("__block")), at, slide)
+    # Windows that begin in the block before and end in this one, before the next pane: from the block's start to this pane.
+    ended = _aligned(at - size + 1, F.coalesce(F.col("__next") - size, F.col("__block") - 1), slide)
+    row = lambda x, end: F.struct(x.alias("__start"), *(F.col(f"{n}{end}").alias(n) for n in names))
+    both = F.concat(F.transform(begun, lambda x: row(x, "t")), F.transform(ended, lambda x: row(x, "h")))
+    return panes.select(*keys, F.explode(both).alias("__w")).select(*keys, "__w.*")
+
+
 def _agg(grouped, partial: list[tuple[str, Column]]) -> DataFrame:
     return grouped.agg(*(p.alias(n) for n, p in partial)) if partial else grouped.agg(F.count(F.lit(1)).alias("__n"))
 

@@ -15,6 +15,23 @@ from ..errors import SchemaError
 from ..types import Field, Schema, of_spark
 
 
+#: On a stream that can be ended, a column that no schema names: true in the row that ends it.
+LAST = "__last"
+#: The time of that row: the year 2200, in milliseconds.
+LAST_MS = 7_258_118_400_000
+
+
+def ended(df: DataFrame, columns: list, fields) -> list:
+    """``columns`` for ``fields`` of ``df``; the row that ends a stream has the last time, or null, in place of each."""
+    if LAST not in df.columns:
+        return columns
+    out = []
+    for c, f in zip(columns, fields):
+        last = F.lit(LAST_MS if f.type.bits == 64 and f.type.is_integer else None).cast(f.type.spark)
+        out.append(F.when(F.col(LAST), last).otherwise(c).alias(f.name))
+    return [*out, F.col(LAST)]
+
+
 @dataclass(frozen=True)
 class Relation:
     df: DataFrame

@@ -7,14 +7,16 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from .errors import InvalidConfig, InvalidSyntax, QueryExists, SchemaError, SinkExists, SourceExists, UnknownModel, UnknownSink, UnknownSource, UnsupportedStatement
 from .operators.basic import union
 from .operators.inference import Model
-from .plans import Relation
+from .plans.relation import LAST, Relation
 from .sources import read, write
 from .sql import Binder, parse
 from .sql import tree as t
+from .streaming.runner import Ends, run, state_dir
 from .types import Schema, c_semantics
 
 Options = dict[str, dict[str, str]]
@@ -43,18 +45,27 @@ class Running:
     relation: Relation
     sink: _Sink | None = None
     state: str = "REGISTERED"
+    #: Of a stream.
+    stream: StreamingQuery | None = None
 
 
 @dataclass
 class Engine:
     """One session.  ``sql`` runs statements and gives the last one's result.
 
+    With ``streaming``, files, sockets and generators are read as streams; a query with
+    a sink then runs until DROP QUERY.  With ``to_end`` besides, it reads all input that is
+    there, fires the windows that are left, and stops.  ``delay_ms``: how far watermarks
+    stay behind the latest time.
+
     >>> engine = Engine(spark)
     >>> engine.sql("CREATE LOGICAL SOURCE s(ts UINT64 NOT NULL, v INT32)")
     """
 
     spark: SparkSession
     streaming: bool = False
+    to_end: bool = False
+    delay_ms: int = 0
     logical: dict[str, Schema] = field(default_factory=dict)
     physical: list[_Physical] = field(default_factory=list)
     tables: dict[str, list[Relation]] = field(default_factory=dict)
@@ -65,6 +76,7 @@ class Engine:
 
     def __post_init__(self) -> None:
         self._ids = itertools.count(1)
+        self.ends = Ends(self.spark) if self.streaming and self.to_end else None
 
     # -- catalog by Python
 
@@ -135,7 +147,7 @@ class Engine:
         for p in self.physical:
             if p.logical == name:
                 options = {**p.options.get("INPUT_FORMATTER", {}), **p.options.get("SOURCE", {})}
-                parts.append(read(self.spark, p.kind, schema, options, self.streaming))
+                parts.append(self._read(p.kind, schema, options))
         if not parts:
             raise UnknownSource(f"logical source {name} has no physical source")
         return union(parts)
@@ -144,7 +156,11 @@ class Engine:
         if node.schema is None:
             raise InvalidConfig("an inline source needs SCHEMA(...) AS SOURCE.SCHEMA")
         options = {**node.options.get("INPUT_FORMATTER", {}), **node.options.get("SOURCE", {})}
-        return read(self.spark, node.kind, node.schema, options, self.streaming)
+        return self._read(node.kind, node.schema, options)
+
+    def _read(self, kind: str, schema: Schema, options: dict[str, str]) -> Relation:
+        rel = read(self.spark, kind, schema, options, self.streaming)
+        return self.ends.of(rel) if self.ends and rel.df.isStreaming else rel
 
     def _model(self, name: str) -> Model:
         if name not in self.models:
@@ -153,7 +169,7 @@ class Engine:
 
     def _relation(self, query: t.Query) -> Relation:
         with c_semantics(self.spark):
-            return Binder(self._source, self._inline, self._model).relation(query)
+            return Binder(self._source, self._inline, self._model, self.delay_ms).relation(query)
 
     def _submit(self, query: t.Query):
         rel = self._relation(query)
@@ -168,9 +184,17 @@ class Engine:
         if sink.schema is not None:
             rel = _to_schema(rel, sink.schema)
         running.state = "RUNNING"
+        options = {**sink.options.get("OUTPUT_FORMATTER", {}), **sink.options.get("SINK", {})}
         try:
-            write(rel, sink.kind, {**sink.options.get("OUTPUT_FORMATTER", {}), **sink.options.get("SINK", {})})
-            running.state = "STOPPED"
+            if rel.df.isStreaming:
+                state = state_dir(self.spark, f"query-{name}")
+                rel = Relation(rel.df.filter(f"not {LAST}").drop(LAST) if LAST in rel.df.columns else rel.df, rel.schema)
+                start = lambda trigger: write(rel, sink.kind, options, state, trigger)
+                running.stream = run(start, self.ends) if self.to_end else start({})
+                running.state = "STOPPED" if self.to_end else "RUNNING"
+            else:
+                write(rel, sink.kind, options)
+                running.state = "STOPPED"
         except Exception:
             running.state = "FAILED"
             raise
@@ -206,7 +230,9 @@ class Engine:
         elif s.subject == "QUERY" and s.attribute == "ID":
             if value not in self.queries:
                 raise InvalidConfig(f"no query {value}")
-            del self.queries[value]
+            running = self.queries.pop(value)
+            if running.stream is not None and running.stream.isActive:
+                running.stream.stop()
         else:
             raise UnsupportedStatement(f"cannot drop a {s.subject.lower()} by {s.attribute}")
 
@@ -222,7 +248,7 @@ class Engine:
         elif s.subject == "MODELS":
             columns, rows = ["NAME", "PATH", "INPUT", "OUTPUT"], [(n, m.path or "", spell(m.inputs), spell(m.outputs)) for n, m in self.models.items()]
         else:
-            columns, rows = ["ID", "STATE"], [(q.id, q.state) for q in self.queries.values()]
+            columns, rows = ["ID", "STATE"], [(q.id, _state(q)) for q in self.queries.values()]
         if s.attribute is not None:
             if s.attribute not in columns:
                 raise InvalidSyntax(f"{s.subject.lower()} have no {s.attribute}")
@@ -238,6 +264,12 @@ class Engine:
         )
 
 
+def _state(q: Running) -> str:
+    if q.state == "RUNNING" and q.stream is not None and not q.stream.isActive:
+        return "FAILED" if q.stream.exception() else "STOPPED"
+    return q.state
+
+
 def _to_schema(rel: Relation, schema: Schema) -> Relation:
     """``rel`` in the order of a sink's schema, whose fields it must have."""
     if {(f.name, f.type.name) for f in rel.schema.fields} != {(f.name, f.type.name) for f in schema.fields}:
@@ -245,4 +277,5 @@ def _to_schema(rel: Relation, schema: Schema) -> Relation:
     for f in schema.fields:
         if rel.schema[f.name].nullable and not f.type.nullable:
             raise SchemaError(f"{f.name} may be null, but the sink's is NOT NULL")
-    return Relation(rel.select(schema.names).df, schema)
+    columns = [f"`{n}`" for n in schema.names] + [LAST] * (LAST in rel.df.columns)
+    return Relation(rel.df.select(*columns), schema)

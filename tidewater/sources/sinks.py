@@ -57,47 +57,97 @@ def checksum(rel: Relation) -> DataFrame:
     return lines.agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("b"), F.lit(0)).alias("checksum"))
 
 
-def _file(rel: Relation, options: Options) -> None:
-    path = options.get("FILE_PATH")
-    if not path:
-        raise InvalidConfig("a File sink needs SINK.FILE_PATH")
-    kind = options.get("OUTPUT_FORMAT", "CSV").upper()
-    if options.get("ADD_TIMESTAMP", "false").lower() == "true":
-        from ..operators.windowed import BOUND
-        from ..types import Field, Schema
-
-        rel = Relation(rel.df.withColumn("TIMESTAMP_MS", F.unix_millis(F.current_timestamp())), Schema((*rel.schema.fields, Field("TIMESTAMP_MS", BOUND))))
-    writer = (rel.df if kind == "PARQUET" else json_lines(rel) if kind == "JSON" else csv_lines(rel, options)).write
-    writer = writer.mode("append" if options.get("APPEND", "false").lower() == "true" else "overwrite")
-    if kind == "PARQUET":
-        writer.parquet(path)
-    elif kind in ("CSV", "JSON"):
-        writer.option("lineSep", options.get("TUPLE_DELIMITER", "\n")).text(path)
-    else:
+def _known(options: Options, *names: str) -> None:
+    """An option that the sink does not have is an error."""
+    if unknown := set(options) - {*names, "OUTPUT_FORMAT", "TYPE", "FIELD_DELIMITER", "TUPLE_DELIMITER", "QUOTE_STRINGS", "ADD_TIMESTAMP", "TRIGGER"}:
+        raise InvalidConfig(f"a sink has no option {', '.join(sorted(unknown))}")
+
+
+def _format(options: Options, *kinds: str) -> str:
+    kind = options.get("OUTPUT_FORMAT", options.get("TYPE", "CSV")).upper()
+    if kind not in kinds:
         raise InvalidConfig(f"no output format {kind}")
+    return kind
+
+
+def _stamped(rel: Relation, options: Options) -> Relation:
+    if options.get("ADD_TIMESTAMP", "false").lower() != "true":
+        return rel
+    from ..operators.windowed import BOUND
+    from ..types import Field, Schema
 
+    return Relation(rel.df.withColumn("TIMESTAMP_MS", F.unix_millis(F.current_timestamp())), Schema((*rel.schema.fields, Field("TIMESTAMP_MS", BOUND))))
 
-def _print(rel: Relation, options: Options) -> None:
-    lines = json_lines(rel) if options.get("OUTPUT_FORMAT", "CSV").upper() == "JSON" else csv_lines(rel, options)
-    for row in lines.toLocalIterator():
-        print(row["value"])
 
+def _lines(rel: Relation, options: Options) -> DataFrame:
+    return json_lines(rel) if _format(options, "CSV", "JSON") == "JSON" else csv_lines(rel, options)
 
-def _void(rel: Relation, options: Options) -> None:
+
+def _started(writer, state: str | None, trigger: dict):
+    writer = writer.option("checkpointLocation", state).outputMode("append")
+    return writer.trigger(**trigger) if trigger else writer
+
+
+def _file(rel: Relation, options: Options, state: str | None, trigger: dict):
+    _known(options, "FILE_PATH", "APPEND")
+    path, kind = options.get("FILE_PATH"), _format(options, "CSV", "JSON", "PARQUET")
+    if not path:
+        raise InvalidConfig("a File sink needs SINK.FILE_PATH")
+    rel = _stamped(rel, options)
+    df = rel.df if kind == "PARQUET" else _lines(rel, options)
+    form = "parquet" if kind == "PARQUET" else "text"
+    if df.isStreaming:
+        writer = _started(df.writeStream.format(form).option("path", path), state, trigger)
+        return (writer if form == "parquet" else writer.option("lineSep", options.get("TUPLE_DELIMITER", "\n"))).start()
+    writer = df.write.format(form).mode("append" if options.get("APPEND", "false").lower() == "true" else "overwrite")
+    (writer if form == "parquet" else writer.option("lineSep", options.get("TUPLE_DELIMITER", "\n"))).save(path)
+
+
+def _print(rel: Relation, options: Options, state: str | None, trigger: dict):
+    """Lines on standard output, a partition at a time: what is printed has to come to the driver."""
+    _known(options)
+    df = _lines(_stamped(rel, options), options)
+
+    def show(batch: DataFrame, _number: int = 0) -> None:
+        for row in batch.toLocalIterator():
+            print(row["value"])
+
+    if df.isStreaming:
+        return _started(df.writeStream.foreachBatch(show), state, trigger).start()
+    show(df)
+
+
+def _void(rel: Relation, options: Options, state: str | None, trigger: dict):
+    _known(options)
+    if rel.df.isStreaming:
+        return _started(rel.df.writeStream.format("noop"), state, trigger).start()
     rel.df.write.format("noop").mode("overwrite").save()
 
 
-def _checksum(rel: Relation, options: Options) -> None:
-    count, total = checksum(rel).first()
-    print(f"{count} {total}")
+def _checksum(rel: Relation, options: Options, state: str | None, trigger: dict):
+    """Prints the number of rows and their checksum: of a stream, after every batch, of all so far in this run."""
+    _known(options, "FILE_PATH")
+    if not rel.df.isStreaming:
+        count, total = checksum(rel).first()
+        print(f"{count} {total}")
+        return None
+    so_far = [0, 0]
+
+    def add(batch: DataFrame, _number: int) -> None:
+        found = checksum(Relation(batch, rel.schema)).first()
+        so_far[0], so_far[1] = so_far[0] + found[0], so_far[1] + found[1]
+        print(f"{so_far[0]} {so_far[1]}")
+
+    return _started(rel.df.writeStream.foreachBatch(add), state, trigger).start()
 
 
-SINKS: dict[str, Callable[[Relation, Options], None]] = {"FILE": _file, "PRINT": _print, "VOID": _void, "CHECKSUM": _checksum}
+#: Each writes a finite relation, or starts a query for a stream and returns it; state: where a stream keeps its progress.
+SINKS: dict[str, Callable] = {"FILE": _file, "PRINT": _print, "VOID": _void, "CHECKSUM": _checksum}
 
 
-def write(rel: Relation, kind: str, options: Options) -> None:
+def write(rel: Relation, kind: str, options: Options, state: str | None = None, trigger: dict | None = None):
     try:
         sink = SINKS[kind.upper()]
     except KeyError:
         raise UnknownSinkKind(f"no sink type {kind}") from None
-    sink(rel, options)
+    return sink(rel, options, state, trigger or {})

@@ -17,8 +17,8 @@ from . import tree as t
 class Binder:
     """``source``: name to relation; ``inline``: a connector in place to a relation; ``model``: name to model."""
 
-    def __init__(self, source: Callable[[str], Relation], inline: Callable[[t.Inline], Relation], model: Callable[[str], Model]):
-        self.source, self.inline, self.model = source, inline, model
+    def __init__(self, source: Callable[[str], Relation], inline: Callable[[t.Inline], Relation], model: Callable[[str], Model], delay_ms: int = 0):
+        self.source, self.inline, self.model, self.delay_ms = source, inline, model, delay_ms
 
     def relation(self, node) -> Relation:
         if isinstance(node, t.Query):
@@ -32,7 +32,7 @@ class Binder:
         if isinstance(node, t.Union):
             return union([self.relation(p) for p in node.parts])
         if isinstance(node, t.Join):
-            return window_join(self.relation(node.left), self.relation(node.right), node.on, node.window, node.kind)
+            return window_join(self.relation(node.left), self.relation(node.right), node.on, node.window, node.kind, self.delay_ms)
         return self.select(node)
 
     def select(self, node: t.Select) -> Relation:
@@ -72,7 +72,7 @@ class Binder:
             return e
 
         items = [(e, n) if e == "*" else (replaced(e), n or e.text()) for e, n in node.items]
-        out = window_aggregate(rel, node.window, node.keys, list(aggs.values()))
+        out = window_aggregate(rel, node.window, node.keys, list(aggs.values()), delay_ms=self.delay_ms)
         return out, items
 
 

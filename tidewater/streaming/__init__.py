@@ -1,5 +1,5 @@
-"""Running queries on streams."""
+"""Running streaming queries."""
 
-from .runner import check_order, replay, run_to_end, with_watermark
+from .runner import Ends, late_rows, run, state_dir, to_table
 
-__all__ = ["check_order", "replay", "run_to_end", "with_watermark"]
+__all__ = ["Ends", "late_rows", "run", "state_dir", "to_table"]

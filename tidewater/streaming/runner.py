@@ -1,100 +1,86 @@
-"""Structured Streaming for windowed queries.
+"""Runs streaming queries on all input that is there, and ends them.
 
-Windows on streams are Spark's own, over an event-time column with a watermark, with
-the same bounds as in batch mode: no start before 0, gaps where the advance is longer
-than the size.  Spark keeps the last windows of a finite stream in state; the
-batch result has them, so ``replay`` ends each source with one row far in the
-future, which fires them, and drops that row's own window.
+Operators see that a relation is a stream and use Spark's own windows, with a watermark
+that they put on their time field.  Windows come out when the watermark has passed
+their end, so a finite stream leaves its last ones in state.  ``Ends`` gives every
+source a second input, empty at first; one row far in the future in each of them,
+once all else is read, fires what is left.  That row passes selections, and its
+own windows are dropped.
+
+Rows of windows that have fired already are an error, as in the batch order of a
+stream; Spark drops and counts them, and ``run`` looks at the count.
 """
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..errors import InvalidConfig, LateRow
+from ..plans.relation import LAST, LAST_MS, Relation
+
+
+def state_dir(spark: SparkSession, name: str) -> str:
+    """A folder for a query's state that all executors reach: below spark.checkpoint.dir, which only a local session may leave unset."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidConfig("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        given = tempfile.mkdtemp(prefix="tidewater-state-")
+    return f"{given.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-from ..errors import LATE
-from ..operators.windowed import END, START, Aggregate, Window, _agg, _kinds, event_time
-from ..plans import Relation
-from ..types import c_semantics, fail
-
-#: The time of the row that ends a replayed stream: the year 2200, in milliseconds.
-LAST_MS = 7_258_118_400_000
-
-
-def with_watermark(rel: Relation, time: str, delay_ms: int = 0) -> DataFrame:
-    """``rel`` with an event-time column ``__time`` and its watermark; the minimum over sources governs."""
-    with c_semantics(rel.spark):
-        return rel.df.withColumn("__time", F.timestamp_millis(event_time(rel, time))).withWatermark("__time", f"{delay_ms} milliseconds")
-
-
-def window_aggregate_stream(rel: Relation, window: Window, keys: list[str], aggs: list[Aggregate], delay_ms: int = 0) -> DataFrame:
-    """The streaming form of ``operators.window_aggregate``."""
-    kinds = _kinds(rel, aggs)
-    df = with_watermark(rel, window.time[0], delay_ms)
-    with c_semantics(rel.spark):
-        at = event_time(rel, window.time[0])
-        gap = window.slide > window.size
-        if gap:
-            df = df.filter(at % window.slide < window.size)
-        width = window.slide if gap else window.size
-        inputs = [(F.lit(1) if a.arg is None else a.arg.column(rel.schema)).alias(f"__x{i}") for i, (a, _, _) in enumerate(kinds)]
-        rows = df.select("__time", *(F.col(f"`{k}`") for k in keys), *inputs)
-        span = F.window("__time", f"{width} milliseconds", f"{window.slide} milliseconds")
-        partial = [(f"__p{i}_{j}", p) for i, (_, k, t) in enumerate(kinds) for j, p in enumerate(k.partial(F.col(f"__x{i}"), t))]
-        grouped = _agg(rows.groupBy(span.alias("__w"), *keys), partial)
-        start = F.unix_millis("__w.start")
-        finals = [k.final([F.col(f"__p{i}_{j}") for j in range(len(k.partial(F.lit(1), t)))], t).cast(k.result(t).spark).alias(a.alias) for i, (a, k, t) in enumerate(kinds)]
-        out = grouped.select(start.alias(START), (start + window.size).alias(END), *keys, *finals)
-        return out.filter(F.col(START) >= 0)
-
-
-def check_order(df: DataFrame, time: str, window_ms: int) -> DataFrame:
-    """Batch check: rows that come after a row of a later, closed window fail the query.
-
-    ``df`` needs a column ``seq`` that numbers the rows in order of arrival.  Only the
-    latest time before each arrival range matters, so ranges of arrivals are
-    compared first and rows inside a range then.
-    """
-    from pyspark.sql import Window as W
-
-    ranged = df.withColumn("__range", F.floor(F.col("seq") / 100_000))
-    tops = ranged.groupBy("__range").agg(F.max(time).alias("__top"))
-    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    tops = tops.select("__range", F.max("__top").over(before).alias("__before"))  # one row for each 100,000
-    inside = W.partitionBy("__range").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    latest = F.greatest(F.col("__before"), F.max(time).over(inside))
-    late = F.col(time) - F.col(time) % window_ms + window_ms < latest
-    checked = ranged.join(tops, "__range").withColumn("__late", F.when(F.coalesce(late, F.lit(False)), fail(LATE, "row of a window that has fired")))
-    return checked.filter(F.col("__late").isNull()).drop("__range", "__before", "__late")
-
-
-def run_to_end(out: DataFrame, name: str | None = None, mode: str = "append") -> DataFrame:
-    """Runs a streaming DataFrame on all input that is there, into a memory table."""
-    name = name or f"stream_{uuid.uuid4().hex}"
-    state = tempfile.mkdtemp(prefix="tidewater-state-") if not out.sparkSession.conf.get("spark.checkpoint.dir", None) else f"{out.sparkSession.conf.get('spark.checkpoint.dir')}/{name}"
-    query = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if state.startswith("/") and not out.sparkSession.conf.get("spark.checkpoint.dir", None):
-        shutil.rmtree(state, ignore_errors=True)
-    return out.sparkSession.table(name)
 
+class Ends:
+    """The second inputs of all sources of an engine."""
 
-def replay(spark: SparkSession, rel: Relation, time: str, folder: str) -> Relation:
-    """The finite relation ``rel`` as a stream of Parquet files in ``folder``, ended by a row at LAST_MS.
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.schemas = spark, state_dir(spark, "ends"), {}
 
-    All files are one batch, so no row is late; the row at LAST_MS fires what is left.
-    Results at or after LAST_MS belong to that row: ``finished`` drops them.
-    """
-    last = [F.lit(LAST_MS).cast(f.type.spark).alias(f.name) if f.name == time else F.lit("" if f.type.name in ("VARSIZED", "CHAR") else 0).cast(f.type.spark).alias(f.name) for f in rel.schema.fields]
-    rel.df.write.mode("append").parquet(folder)
-    spark.range(1).select(*last).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rel.df.schema).parquet(folder)
-    return Relation(stream, rel.schema)
+    def of(self, rel: Relation) -> Relation:
+        """``rel`` with the input that will end it."""
+        struct = rel.df.withColumn(LAST, F.lit(True)).schema
+        path = f"{self.folder}/{len(self.schemas)}"
+        self.schemas[path] = (struct, rel.schema)
+        self.spark.createDataFrame([], struct).write.parquet(path)
+        stream = self.spark.readStream.schema(struct).parquet(path)
+        return Relation(rel.df.withColumn(LAST, F.lit(False)).unionByName(stream), rel.schema)
 
+    def write(self) -> None:
+        """Puts the last row into every second input."""
+        for path, (struct, schema) in self.schemas.items():
+            fields = [F.lit(LAST_MS if f.type.bits == 64 and f.type.is_integer else None).cast(f.type.spark).alias(f.name) for f in schema.fields]
+            self.spark.range(1).select(*fields, F.lit(True).alias(LAST)).select(*struct.names).write.mode("append").parquet(path)
 
-def finished(df: DataFrame) -> DataFrame:
-    return df.filter(F.col(END) <= LAST_MS)
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after their window had fired."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def run(start: Callable[[dict], StreamingQuery], ends: Ends | None = None) -> StreamingQuery:
+    """Starts a query, by its trigger, on all input that is there; with ``ends`` once more to fire what is left."""
+    query = start({"availableNow": True})
+    query.awaitTermination()
+    late = late_rows(query)
+    if ends is not None and not late:
+        ends.write()
+        query = start({"availableNow": True})
+        query.awaitTermination()
+        late = late_rows(query)
+    if late:
+        raise LateRow(f"{late} rows of windows that have fired")
+    return query
+
+
+def to_table(out: DataFrame, ends: Ends | None = None, mode: str = "append") -> DataFrame:
+    """All rows of a streaming DataFrame as Parquet, read again: for tests and for streams that end."""
+    state = state_dir(out.sparkSession, "stream")
+    path = f"{state}/rows"
+    writer = out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{state}/state").option("path", path)
+    run(lambda trigger: writer.trigger(**trigger).start(), ends)
+    return out.sparkSession.read.schema(out.schema).parquet(path)
