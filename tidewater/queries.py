@@ -33,6 +33,9 @@ _TABLES = {
 #: Milliseconds in DuckDB.
 _EV = "(SELECT event_id, epoch_us(ts) // 1000 AS ts, user_id, event_type, value FROM events)"
 _OR = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, epoch_us(o_orderdate) // 1000 AS ts FROM orders)"
+#: Orders, shifted by 29 years into the time of the events.
+_SHIFT = 915_148_800_000
+_LATER = f"(SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) // 1000 + {_SHIFT} AS ts FROM orders)"
 _LI = "(SELECT *, epoch_us(l_shipdate) // 1000 AS ts FROM lineitem)"
 DAY, HOUR = 86_400_000, 3_600_000
 
@@ -150,10 +153,23 @@ _join("join_theta", "INNER", "u < v AND a != b", "u < v AND a != b", "TUMBLING(t
 _join("join_or", "INNER", "u = v OR a = b", "(u = v OR a = b)", "TUMBLING(ta, tb, SIZE 6 HOUR)", 6 * HOUR, 6 * HOUR)
 _sql("join_mixed_types", "orders customer", "SELECT k, c FROM (SELECT CASTTOTYPE(o_custkey AS INT32) AS k, o_orderkey, UINT64(0) AS t1 FROM orders) JOIN (SELECT c_custkey AS c, UINT64(0) AS t2 FROM customer) ON k = c WINDOW TUMBLING(t1, t2, SIZE 1 SEC)",
      "SELECT o_custkey::INTEGER AS k, c_custkey AS c FROM orders JOIN customer ON o_custkey = c_custkey")
-_sql("join_multiway", "events orders", "SELECT start, end, n, m, w FROM (SELECT start AS s1, n, m FROM (SELECT start AS sa, COUNT(*) AS n FROM events WINDOW TUMBLING(ts, SIZE 1 DAY)) JOIN (SELECT start AS sb, COUNT(value) AS m FROM events WINDOW TUMBLING(ts, SIZE 1 DAY)) ON n >= m WINDOW TUMBLING(sa, sb, SIZE 1 DAY)) LEFT JOIN (SELECT start AS sc, COUNT(*) AS w FROM orders WINDOW TUMBLING(o_orderdate, SIZE 1 DAY)) ON n != w WINDOW TUMBLING(s1, sc, SIZE 1 DAY)",
-     f"""WITH a AS (SELECT ts - ts % {DAY} AS s, count(*) AS n, count(value) AS m FROM {_EV} GROUP BY 1), c AS (SELECT ts - ts % {DAY} AS s, count(*) AS w FROM {_OR} GROUP BY 1)
+_sql("join_multiway", "events orders", f"SELECT start, end, n, m, w FROM (SELECT start AS s1, n, m FROM (SELECT start AS sa, COUNT(*) AS n FROM events WINDOW TUMBLING(ts, SIZE 1 DAY)) JOIN (SELECT start AS sb, COUNT(value) AS m FROM events WINDOW TUMBLING(ts, SIZE 1 DAY)) ON n >= m WINDOW TUMBLING(sa, sb, SIZE 1 DAY)) LEFT JOIN (SELECT start AS sc, COUNT(*) AS w FROM (SELECT o_orderdate + UINT64({_SHIFT}) AS later FROM orders) WINDOW TUMBLING(later, SIZE 1 DAY)) ON n != w WINDOW TUMBLING(s1, sc, SIZE 1 DAY)",
+     f"""WITH a AS (SELECT ts - ts % {DAY} AS s, count(*) AS n, count(value) AS m FROM {_EV} GROUP BY 1), c AS (SELECT ts - ts % {DAY} AS s, count(*) AS w FROM {_LATER} GROUP BY 1)
      SELECT a.s AS start, a.s + {DAY} AS "end", n, m, w FROM a LEFT JOIN c ON a.s = c.s AND n != w WHERE n >= m""")
 
+# NULLs: no table has any, so an outer join makes them.
+_HALF = f"(SELECT start AS s, a, v, b FROM {_L} LEFT JOIN {_R} ON u = v AND b > a WINDOW TUMBLING(ta, tb, SIZE 1 DAY))"
+_HALF_SQL = f"(SELECT l.ts - l.ts % {DAY} AS s, l.event_id AS a, r.user_id AS v, r.event_id AS b FROM (SELECT * FROM {_EV} WHERE event_type = 'purchase') l LEFT JOIN (SELECT * FROM {_EV} WHERE event_type = 'error') r ON l.user_id = r.user_id AND l.ts // {DAY} = r.ts // {DAY} AND r.event_id > l.event_id)"
+_sql("null_predicates", "events", f"SELECT s, a, ISNULL(b) AS missing, b + a AS x, b > a AS y, NOT (b > a) AS z FROM {_HALF}", f"SELECT s, a, b IS NULL AS missing, b + a AS x, b > a AS y, NOT (b > a) AS z FROM {_HALF_SQL}")
+_sql("null_selection", "events", f"SELECT a, b FROM {_HALF} WHERE b > INT64(100) OR ISNULL(v)", f"SELECT a, b FROM {_HALF_SQL} WHERE b > 100 OR v IS NULL")
+_sql("null_group_keys", "events", f"SELECT start, v, COUNT(*) AS n, COUNT(b) AS c, SUM(b) AS t, MIN(b) AS lo, MAX(b) AS hi, AVG(b) AS m, MEDIAN(b) AS d FROM {_HALF} GROUP BY v WINDOW TUMBLING(s, SIZE 3 DAY)",
+     f"SELECT s - s % {3 * DAY} AS start, v, count(*) AS n, count(b) AS c, sum(b)::BIGINT AS t, min(b) AS lo, max(b) AS hi, avg(b) AS m, median(b) AS d FROM {_HALF_SQL} GROUP BY ALL")
+for _kind in ("INNER", "LEFT", "RIGHT", "FULL"):
+    _sql(f"null_join_keys_{_kind.lower()}", "events", f"SELECT start, a, v, b, w, e FROM {_HALF} {_kind} JOIN (SELECT user_id AS w, event_id AS e, ts AS t FROM events WHERE event_type = VARSIZED('signup')) ON v = w WINDOW TUMBLING(s, t, SIZE 12 HOUR)",
+         f"SELECT coalesce(l.s, r.ts) - coalesce(l.s, r.ts) % {DAY // 2} AS start, a, v, b, user_id AS w, event_id AS e FROM {_HALF_SQL} l {_kind} JOIN (SELECT * FROM {_EV} WHERE event_type = 'signup') r ON v = user_id AND l.s // {DAY // 2} = r.ts // {DAY // 2}")
+_sql("join_self", "nation", "SELECT x, y FROM (SELECT n_nationkey AS x, n_regionkey AS rx, UINT64(5) AS t1 FROM nation) JOIN (SELECT n_nationkey AS y, n_regionkey AS ry, UINT64(7) AS t2 FROM nation) ON rx = ry AND NOT (x = y) WINDOW TUMBLING(t1, t2, SIZE 1 SEC)",
+     "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
+
 # -- benchmark shapes -----------------------------------------------------------------------------------------
 
 _sql("nexmark_q0", "events", "SELECT * FROM (SELECT ts, event_id, user_id, value FROM events)", "SELECT epoch_us(ts) // 1000 AS ts, event_id, user_id, value FROM events")
@@ -163,8 +179,8 @@ _COUNTS = "SELECT user_id, COUNT(user_id) AS {n}, start AS {s} FROM events GROUP
 _sql("nexmark_q5", "events", f"SELECT start, end, user_id, num, top FROM ({_COUNTS.format(n='num', s='s1')}) INNER JOIN (SELECT MAX(num2) AS top, start AS s3 FROM ({_COUNTS.format(n='num2', s='s2')}) WINDOW TUMBLING(s2, SIZE 2 HOUR)) ON num == top WINDOW TUMBLING(s1, s3, SIZE 2 HOUR)",
      f"""WITH c AS (SELECT ws, user_id, count(*) AS num FROM {_windows(10 * HOUR, 2 * HOUR, _EV)} GROUP BY ALL)
      SELECT ws AS start, ws + {2 * HOUR} AS "end", user_id, num, num AS top FROM c QUALIFY num = max(num) OVER (PARTITION BY ws)""")
-_sql("nexmark_q8", "events orders", "SELECT start, end, user_id, event_id, o_orderkey FROM (SELECT ts AS t1, user_id, event_id FROM events) INNER JOIN (SELECT o_orderdate AS t2, o_orderkey, o_custkey FROM orders) ON user_id = o_custkey WINDOW TUMBLING(t1, t2, SIZE 10 DAY)",
-     f"SELECT e.ts - e.ts % {10 * DAY} AS start, e.ts - e.ts % {10 * DAY} + {10 * DAY} AS \"end\", user_id, event_id, o_orderkey FROM {_EV} e JOIN {_OR} o ON user_id = o_custkey AND e.ts // {10 * DAY} = o.ts // {10 * DAY}")
+_sql("nexmark_q8", "events orders", f"SELECT start, end, user_id, event_id, o_orderkey FROM (SELECT ts AS t1, user_id, event_id FROM events) INNER JOIN (SELECT o_orderdate + UINT64({_SHIFT}) AS t2, o_orderkey, o_custkey FROM orders) ON user_id = o_custkey WINDOW TUMBLING(t1, t2, SIZE 10 DAY)",
+     f"SELECT e.ts - e.ts % {10 * DAY} AS start, e.ts - e.ts % {10 * DAY} + {10 * DAY} AS \"end\", user_id, event_id, o_orderkey FROM {_EV} e JOIN {_LATER} o ON user_id = o_custkey AND e.ts // {10 * DAY} = o.ts // {10 * DAY}")
 _sql("ysb", "events", "SELECT start, end, user_id, COUNT(*) AS n, SUM(user_id) AS s FROM events WHERE event_type = VARSIZED('purchase') GROUP BY user_id WINDOW TUMBLING(ts, SIZE 30 SEC)",
      f"SELECT ts - ts % 30000 AS start, ts - ts % 30000 + 30000 AS \"end\", user_id, count(*) AS n, sum(user_id)::BIGINT AS s FROM {_EV} WHERE event_type = 'purchase' GROUP BY ALL")
 _sql("linear_road_q1", "events", "SELECT start, event_type, AVG(user_id) AS speed FROM events GROUP BY event_type WINDOW SLIDING(ts, SIZE 5 HOUR, ADVANCE BY 1 MINUTE) HAVING speed < FLOAT64(400)",
@@ -229,3 +245,7 @@ ORACLE_SQL |= {
     "model_inference": "SELECT s_suppkey, (s_suppkey * 3 + 1)::DOUBLE AS y FROM supplier WHERE s_suppkey * 3 + 1 > 10",
     "agg_panes_60": f"SELECT ws AS start, ws + {60 * HOUR} AS \"end\", event_type, count(*) AS n, max(user_id) AS m FROM {_windows(60 * HOUR, HOUR, _EV)} GROUP BY ALL",
 }
+
+from .queries_by_type import register as _register  # noqa: E402
+
+_register(_sql, QUERIES, ORACLE_SQL)
