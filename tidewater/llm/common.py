@@ -6,11 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and everything runs in one process."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not given:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given
@@ -30,16 +35,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read again: lineage ends there and a lost executor costs nothing."""
-    path = new_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.options(**options).parquet(path)
-    out = df.sparkSession.read.schema(schema).parquet(path)
+#: Rows of texts, or of sets of them, that Spark hands to a Python worker at once.
+TEXT_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, texts: bool = False, **options: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: lineage ends there and a lost executor costs nothing.
+
+    ``texts``: Python workers get small batches meanwhile, as rows are long; that changes no result.
+    """
+    spark = df.sparkSession
+    path, schema, rows = new_path(spark, name), df.schema, spark.conf.get(_BATCH)
+    if texts:
+        spark.conf.set(_BATCH, TEXT_ROWS)
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if texts:
+            spark.conf.set(_BATCH, rows)
+    out = spark.read.schema(schema).parquet(path)
     out._tidewater_path = path  # for removed()
     return out
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """row (all columns of ``df`` as a struct) and key, a number of each row; written, so that keys stay what they are."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    return written(df.select(row, F.monotonically_increasing_id().alias("key")), "keyed")
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, longer if need be, so that none of ``columns`` has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def removed(df: DataFrame) -> None:
     """Deletes what ``written`` wrote, once nothing reads it any more.
 
@@ -60,15 +93,13 @@ def partitions(spark: SparkSession) -> int:
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch with about ``most`` bytes of text each, and their texts (null: empty)."""
     column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-    parts = [b"" if x is None else x for x in column.to_pylist()]
-    lo, size = 0, 0
-    for hi, part in enumerate(parts):
-        if size and size + len(part) > most:
-            yield batch.slice(lo, hi - lo), parts[lo:hi]
-            lo, size = hi, 0
-        size += len(part) + 1
-    if lo < len(parts):
-        yield batch.slice(lo), parts[lo:]
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    lo, ends = 0, np.cumsum(sizes)
+    while lo < len(column):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(lo, hi - lo), [b"" if x is None else x for x in column.slice(lo, hi - lo).to_pylist()]
+        lo = hi
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
