@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import wordhash as wh
 from .common import column, slices, table
@@ -146,12 +147,12 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     A document is in the sample if its hash, as a share of all hashes, is below what
     the language's number of documents asks for, so no language is sorted.
     """
-    ids = docs.filter("lang is not null and doc_id is not null and text is not null").select("lang", "doc_id")
-    each = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.filter("lang is not null and doc_id is not null and text is not null").select("lang", "doc_id", "text")
+    each = rows.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"))
     share = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 31)) / float(1 << 31)
-    chosen = ids.join(each, "lang").filter(share * F.col("n") < per_language).select(F.col("doc_id").alias("id"))
-    # As few rows as the sample is large.
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"), "left_semi").select("lang", "text")
+    chosen = rows.join(F.broadcast(each), F.col("lang") == F.col("of"))  # one row for each language
+    # Equal texts once, so that a row which is repeated very often is no larger a sample.
+    return chosen.filter(share * F.col("n") < per_language).select("lang", "text").distinct()
 
 
 def train(docs: DataFrame, pieces: list[bytes], per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
@@ -174,7 +175,7 @@ def train(docs: DataFrame, pieces: list[bytes], per_language: int = PER_LANGUAGE
 def identify(docs: DataFrame, names: list[str], theta: np.ndarray, pieces: list[bytes]) -> DataFrame:
     """``docs`` (doc_id, text, ...) with lang_pred and score; other columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast((names, theta, pieces))
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, theta, pieces = shared.value
@@ -199,8 +200,8 @@ def identify(docs: DataFrame, names: list[str], theta: np.ndarray, pieces: list[
                     for lo in range(0, order.size, 50_000):
                         part = order[lo : lo + 50_000]
                         scores[got[part]] = np.log(lattice.forward(buf, starts[at[part]], lens[at[part]], theta)[0])
-                total = np.concatenate([np.zeros((1, len(names))), np.cumsum(scores[rows], axis=0)])
-                total = total[first[1:]] - total[first[:-1]]
+                doc = np.repeat(np.arange(len(texts)), np.diff(first))  # sums by text: equal texts get equal ones
+                total = np.stack([np.bincount(doc, scores[rows, k], len(texts)) for k in range(len(names))], axis=1) if names else np.zeros((len(texts), 0))
                 pred, score = [], []
                 for k, text in enumerate(texts):
                     if not names or not (text.upper() != text.lower() if text.isascii() else any(map(str.isalpha, text.decode()))):
@@ -212,13 +213,13 @@ def identify(docs: DataFrame, names: list[str], theta: np.ndarray, pieces: list[
                     score.append(float(p.max() / p.sum()))
                 yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    schema = StructType([f for f in docs.schema if f.name in kept])
+    return docs.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     pieces = vocabulary_pieces()
     names, theta = train(docs.filter(~held_out), pieces)
     return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), names, theta, pieces).drop("text")

@@ -1,12 +1,13 @@
 """Operator 2: exact line dedup against levelled sorted runs.
 
-The index of lines seen so far is a log-structured merge tree of Parquet runs in
-the shared folder.  A run holds the 128-bit hashes of lines with the smallest
-``doc_id`` that has them, dealt and sorted by hash; no hash is in two runs.  A
-batch of documents is reduced to one row for each hash, merge-joined with every
-run, and what no run has becomes a new run of level 0.  When a level holds
+The index of lines seen so far is a log-structured merge tree of runs in the shared
+folder.  A run is a bucketed Parquet table of the 128-bit hashes of lines with the
+smallest ``doc_id`` that has them, each bucket one file sorted by hash; no hash is in
+two runs.  A batch of documents is reduced to one row for each hash, merge-joined
+with every run, and what no run has becomes a new run of level 0.  When a level holds
 ``fanout`` runs they are merged into one of the next level, so a hash is
-rewritten once for each level and a batch meets few runs.
+rewritten once for each level and a batch meets few runs.  Runs have equal buckets, so
+neither a batch's joins nor a merge deal out a run's rows again.
 
 Batches come in ascending ``doc_id``, so the first document that brings a hash is
 the one that keeps its lines.  Hashes that a second document brings are noted
@@ -23,14 +24,15 @@ against others; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import column, partitions, slices, table, written, removed
+from .common import column, fresh, new_path, partitions, removed, slices, table, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 MIN_CHARS, BATCHES, FANOUT = 10, 4, 2
@@ -76,7 +78,8 @@ class LineIndex:
     """The runs, by level; ``add`` takes batches in ascending doc_id."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
+        self.spark, self.fanout, self.buckets = spark, fanout, partitions(spark)
+        self.places: dict[int, tuple[str, str]] = {}
         self.levels: list[list[DataFrame]] = [[]]
         self.shared: list[DataFrame] = []
         self.lines: list[DataFrame] = []
@@ -84,20 +87,36 @@ class LineIndex:
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def _sorted(self, run: DataFrame, level: int) -> DataFrame:
-        dealt = run.repartition(partitions(self.spark), *KEY).sortWithinPartitions(*KEY)
-        return written(dealt, f"lines-l{level}")
+    def _run(self, rows: DataFrame, level: int) -> DataFrame:
+        """``rows``, whose partitions are buckets already, as a run."""
+        name, path = f"lines_l{level}_{uuid.uuid4().hex}", new_path(self.spark, f"lines-l{level}")
+        rows.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        run = self.spark.table(name)
+        self.places[id(run)] = name, path
+        return run
+
+    def _forget(self, run: DataFrame) -> None:
+        name, path = self.places.pop(id(run))
+        self.spark.sql(f"DROP TABLE {name}")
+        run._tidewater_path = path
+        removed(run)
+
+    def close(self) -> None:
+        """Deletes the runs; what batches have noted stays."""
+        for run in self.runs():
+            self._forget(run)
+        self.levels = [[]]
 
     def add(self, docs: DataFrame, min_chars: int = MIN_CHARS) -> None:
         """Indexes a batch, and notes hashes that more than one document has, with their keeper."""
-        lines = written(hashed_lines(docs, min_chars), "lines")
+        lines = written(hashed_lines(docs, min_chars), "lines", texts=True)
         self.lines.append(lines)
         fresh = lines.groupBy(*KEY).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
         known = []
         for run in self.runs():
             known.append(fresh.hint("merge").join(run.select(*KEY, F.col("first_doc").alias("keeper")), KEY))
             fresh = fresh.hint("merge").join(run.select(*KEY), KEY, "left_anti")
-        level0 = self._sorted(fresh, 0)
+        level0 = self._run(fresh.repartition(self.buckets, *KEY), 0)
         self.levels[0].append(level0)
         for found in known:
             self.shared.append(written(found.select(*KEY, "keeper"), "lines-shared"))
@@ -108,13 +127,14 @@ class LineIndex:
         for k, level in enumerate(self.levels):
             if len(level) >= self.fanout:
                 merged = level[0]
-                for run in level[1:]:
-                    merged = merged.unionByName(run)
+                for run in level[1:]:  # no hash is in both, so this is a merge
+                    merged = merged.hint("merge").join(run.select(*KEY, *(F.col(c).alias(f"other_{c}") for c in ("first_doc", "n"))), KEY, "full")
+                    merged = merged.select(*KEY, *(F.coalesce(c, f"other_{c}").alias(c) for c in ("first_doc", "n")))
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(self._sorted(merged, k + 1))
+                self.levels[k + 1].append(self._run(merged, k + 1))
                 for run in level:
-                    removed(run)
+                    self._forget(run)
                 self.levels[k] = []
 
     def dropped(self) -> DataFrame:
@@ -124,35 +144,42 @@ class LineIndex:
             keepers = keepers.unionByName(more)
         for more in self.lines[1:]:
             lines = lines.unionByName(more)
-        keepers = keepers.groupBy(*KEY).agg(F.min("keeper").alias("keeper"))  # a key may be noted by several batches
+        # A key may be noted by several batches.  Written, so that a line which very many documents hold can be split in the join.
+        keepers = written(keepers.groupBy(*KEY).agg(F.min("keeper").alias("keeper")), "lines-keepers")
         lost = lines.join(keepers, KEY).filter("doc_id > keeper")
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("lost"))
 
 
 def _ranges(docs: DataFrame, batches: int) -> list[DataFrame]:
-    """Batches of about equal width in doc_id, ascending."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
+    """Batches of about as many documents each, in ascending ranges of doc_id."""
+    cuts = docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.2 / batches)  # no row: no cut
+    cuts = sorted({int(c) for c in cuts})
+    if not cuts and batches > 1 and docs.filter("doc_id is not null").isEmpty():
         return []
-    step = -(-(high - low + 1) // batches)
-    return [docs.filter((F.col("doc_id") >= lo) & (F.col("doc_id") < lo + step)) for lo in range(low, high + 1, step)]
+    out = []
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = docs.filter("doc_id is not null") if lo is None else docs.filter(F.col("doc_id") >= lo)
+        out.append(part if hi is None else part.filter(F.col("doc_id") < hi))
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """``docs`` with ``text`` without its dropped lines, and n_lines and n_dropped; other columns stay.
 
-    The columns n_lines and n_dropped of ``docs``, if any, are replaced.
+    The columns n_lines and n_dropped of ``docs``, if any, are replaced, whatever their case; a column lost goes.
     """
     spark = docs.sparkSession
     index = LineIndex(spark, fanout)
     for batch in _ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), batches):
         index.add(batch, min_chars)
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "lost")]
+    index.close()
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "lost")]
     if not index.lines:
         joined = docs.select(*kept, F.lit(None).cast("array<struct<hi:long,lo:long>>").alias("lost"))
     else:
-        lost = index.dropped().withColumnRenamed("doc_id", "__id")
-        joined = docs.select(*kept).join(lost, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+        name = fresh("of", [*kept, "lost"])
+        lost = index.dropped().withColumnRenamed("doc_id", name)
+        joined = docs.select(*kept).join(lost, F.col("doc_id").cast("long") == F.col(name), "left").drop(name)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
@@ -170,8 +197,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
                 cols = [pa.array(out, pa.string()) if c == "text" else column(batch, c) for c in kept]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*kept, "n_lines", "n_dropped"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return joined.mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
+    schema = StructType([f for f in docs.schema if f.name in kept]).add("n_lines", "long").add("n_dropped", "long")
+    return joined.mapInArrow(run, schema)
 
 
 def _is_lost(line: bytes, gone: set, min_chars: int) -> bool:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .common import column, slices, table, written
 
@@ -33,9 +34,10 @@ UNKNOWN = "application/octet-stream"
 RATE, UNIT = 8000, 64
 
 # -- validators: the length of the whole object that begins at ``at``, 0 if there is none -------------------
+# ``memo`` is empty when a new ``b`` begins; what one hit has found out about the data it keeps for the next ones.
 
 
-def _png(b: bytes, at: int) -> int:
+def _png(b: bytes, at: int, memo: dict) -> int:
     p, seen = at + 8, False
     while p + 12 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, p)
@@ -50,7 +52,7 @@ def _png(b: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(b: bytes, at: int) -> int:
+def _jpeg(b: bytes, at: int, memo: dict) -> int:
     p = at + 2
     while p + 2 <= len(b) and b[p] == 0xFF:
         kind = b[p + 1]
@@ -80,7 +82,7 @@ def _jpeg(b: bytes, at: int) -> int:
     return 0
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(b: bytes, at: int, memo: dict) -> int:
     if at + 13 > len(b):
         return 0
     flags = b[at + 10]
@@ -102,7 +104,7 @@ def _gif(b: bytes, at: int) -> int:
     return 0
 
 
-def _bmp(b: bytes, at: int) -> int:
+def _bmp(b: bytes, at: int, memo: dict) -> int:
     if at + 54 > len(b):
         return 0
     size, zero, first, head, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -113,7 +115,7 @@ def _bmp(b: bytes, at: int) -> int:
 
 
 def _riff(kind: bytes):
-    def check(b: bytes, at: int) -> int:
+    def check(b: bytes, at: int, memo: dict) -> int:
         if at + 12 > len(b) or b[at + 8 : at + 12] != kind:
             return 0
         end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -129,7 +131,7 @@ def _riff(kind: bytes):
     return check
 
 
-def _gzip(b: bytes, at: int) -> int:
+def _gzip(b: bytes, at: int, memo: dict) -> int:
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return 0
     reader = zlib.decompressobj(31)
@@ -146,31 +148,42 @@ def _gzip(b: bytes, at: int) -> int:
     return min(p, len(b)) - len(reader.unused_data) - at if reader.eof else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    p = b.find(b"PK\x05\x06", at)
-    while 0 <= p <= len(b) - 22:
-        size, first, note = struct.unpack_from("<IIH", b, p + 12)
-        if at + first + size == p and b[at + first : at + first + 4] in (b"PK\x01\x02", b"PK\x05\x06") and p + 22 + note <= len(b):
+def _zip(b: bytes, at: int, memo: dict) -> int:
+    if "zip" not in memo:  # by where an archive begins: where its end record lies
+        memo["zip"], p = {}, b.find(b"PK\x05\x06")
+        while 0 <= p <= len(b) - 22:
+            size, first = struct.unpack_from("<II", b, p + 12)
+            memo["zip"].setdefault(p - first - size, []).append(p)
+            p = b.find(b"PK\x05\x06", p + 4)
+    for p in memo["zip"].get(at, ()):
+        first, note = struct.unpack_from("<IH", b, p + 16)
+        if p > at and b[at + first : at + first + 4] in (b"PK\x01\x02", b"PK\x05\x06") and p + 22 + note <= len(b):
             return p + 22 + note - at
-        p = b.find(b"PK\x05\x06", p + 4)
     return 0
 
 
-def _ogg(b: bytes, at: int) -> int:
-    p, last = at, 0
-    while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0":
+def _ogg(b: bytes, at: int, memo: dict) -> int:
+    broken, bare = memo.setdefault("ogg", (set(), set()))  # pages after which one is cut off, or none is a stream's last
+    p, last, pages = at, 0, []
+    while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0" and p not in bare:
         kind, n = b[p + 5], b[p + 26]
         end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if end > len(b) or p + 27 + n > len(b):
+        if end > len(b) or p + 27 + n > len(b) or p in broken:
+            broken.update(pages)
             return 0
+        pages.append(p)
         p = end
         if kind & 4:
             last = p
+    if not last:
+        bare.update(pages)
     return last - at if last else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
+def _pdf(b: bytes, at: int, memo: dict) -> int:
+    if memo.get("pdf", at) < 0:
+        return 0
+    end = memo["pdf"] = b.find(b"%%EOF", at)
     if end < 0 or b.find(b"startxref", at, end) < 0:
         return 0
     return end + 5 - at
@@ -180,7 +193,7 @@ def _pdf(b: bytes, at: int) -> int:
 _BOXES = frozenset(b"ftyp styp moov moof mdat meta free skip wide uuid sidx ssix mfra pdin prft emsg imda".split())
 
 
-def _mp4(b: bytes, at: int) -> int:
+def _mp4(b: bytes, at: int, memo: dict) -> int:
     p, moov = at, False
     while p + 8 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, p)
@@ -237,29 +250,33 @@ class Sniffer:
     def __init__(self) -> None:
         self.automaton = _automaton()
 
-    def objects(self, data: bytes) -> list[tuple[int, int, str]]:
-        """(start, length, type) of every whole object, in order of start, then longest first."""
-        out = []
+    def hits(self, data: bytes) -> list[tuple[int, list]]:
+        """Where objects may begin, ascending, with the types and validators of each place."""
+        out: dict[int, list] = {}
         for end, (size, found) in self.automaton.iter(data.decode("latin-1")):
             for back, kind, check in found:
-                at = end + 1 - size - back
-                if at >= 0 and (n := check(data, at)):
-                    out.append((at, n, kind))
-        out.sort(key=lambda x: (x[0], -x[1], x[2]))
-        return out
+                if (at := end + 1 - size - back) >= 0:
+                    out.setdefault(at, []).append((kind, check))
+        return sorted(out.items())
 
     def sniff(self, data: bytes | None) -> tuple[str | None, list[tuple[int, int, str]]]:
-        """The type of ``data`` and the outermost objects embedded in it."""
+        """The type of ``data`` and the outermost objects embedded in it: (start, length, type).
+
+        At one place the longest object counts; hits inside a carved object are not looked at.
+        """
         if data is None:
             return None, []
-        found = self.objects(data)
-        kind = next((k for at, _, k in found if not at), UNKNOWN)
-        carved, end = [], 0
-        for at, n, k in found:
-            if at and at >= end:
-                carved.append((at, n, k))
-                end = at + n
-        return kind, carved
+        whole, carved, end, memo = UNKNOWN, [], 0, {}
+        for at, checks in self.hits(data):
+            if at and at < end:
+                continue
+            n, kind = min(((-check(data, at, memo), kind) for kind, check in checks), default=(0, ""))
+            if n and not at:
+                whole = kind
+            elif n:
+                carved.append((at, -n, kind))
+                end = at - n
+        return whole, carved
 
 
 def store(payload: bytes) -> bytes:
@@ -283,10 +300,10 @@ def stored_payload(media: bytes) -> bytes:
 def sniffed(df: DataFrame, media: str = "media", declared: str | None = None) -> DataFrame:
     """``df`` with media_type (true type), corrected (declared type was wrong) and embedded (start, length, type).
 
-    Columns of ``df`` with these names are replaced.
+    Columns of ``df`` with these names, whatever their case, are replaced.
     """
     added = {"media_type": pa.string(), "corrected": pa.bool_(), "embedded": pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))}
-    kept = [c for c in df.columns if c not in added]
+    kept = [c for c in df.columns if c.lower() not in added]
     said = df[declared].cast("string") if declared else F.lit(None).cast("string")
     typed = df.select(*kept, said.alias("corrected"))
 
@@ -302,9 +319,8 @@ def sniffed(df: DataFrame, media: str = "media", declared: str | None = None) ->
             new = [pa.array(v, t) for v, t in zip((kinds, wrong, found), added.values())]
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), *new], names=[*kept, *added])
 
-    fields = "media_type string, corrected boolean, embedded array<struct<start:long,length:long,type:string>>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in typed.schema if f.name in kept), fields])
-    return typed.mapInArrow(run, schema)
+    schema = StructType([f for f in df.schema if f.name in kept])
+    return typed.mapInArrow(run, schema.add("media_type", "string").add("corrected", "boolean").add("embedded", ArrayType(StructType().add("start", "long").add("length", "long").add("type", "string"))))
 
 
 def _feature(payload: bytes, kind: str, carved: list[tuple[int, int, str]]) -> str:
@@ -326,7 +342,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array([UNKNOWN] * len(texts)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "declared", "media"])
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(typed.mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary"), "media", compression="zstd")
+    return written(typed.mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary"), "media", texts=True, compression="zstd")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ all words; a source that would have to give more than ``most`` times its own wor
 is held there and the excess shared anew, which a sort by room per weight and
 running sums solve in one go.
 
-Documents get a hash-random key.  Within a source they are ordered by key: the
+Documents get a hash-random key, of ``doc_id`` and text.  Within a source they are ordered by key: the
 leading bits of a key, being uniform, cut the source into ranges of equal size, so
 that no source, however large, is sorted in one task.  Words are summed by range,
 then over the ranges of a source, then inside each range; the three levels give
@@ -14,8 +14,8 @@ rounded.  Whole epochs take every document; the last epoch takes documents in ke
 order until the budget is spent, the document at the cut in part.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source
-of its own; rows with null or repeated ``doc_id`` are documents of their own, ties
-in key broken by size; an empty table gives no rows; further columns are ignored.
+of its own; rows with null or repeated ``doc_id`` are documents of their own, and of
+equal rows any may be taken; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import keyed, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, "mix-1"
@@ -37,10 +37,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size and key of each document, written: texts are read once."""
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"/{seed}")).cast("binary"))
-    return written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")), "mix-sizes")
+def sized(docs: DataFrame, seed: str = SEED, number: str | None = None) -> DataFrame:
+    """doc_id, source, size and key of each document, written: texts are read once; ``number``: a column that comes along under that name."""
+    parts = F.col("doc_id").cast("string"), F.lit(seed), F.md5(F.col("text").cast("binary"))
+    key = F.md5(F.concat_ws("/", *parts).cast("binary"))
+    return written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), *([F.col(number).alias("number")] if number else [])), "mix-sizes")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -60,7 +61,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, taken for ``sizes`` as ``sized`` gives them."""
+    """doc_id, size, source_size, target, taken (and number) for ``sizes`` as ``sized`` gives them."""
+    number = ["number"] if "number" in sizes.columns else []
     bits = max(4, math.ceil(math.log2(max(1, sizes.count()) / RANGE_ROWS + 1)) + 2)
     lead = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     ranged = sizes.withColumn("range", F.shiftright(lead, 32 - min(bits, 31)))
@@ -70,26 +72,28 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     goal = targets(sizes, weights, most)
     starts = starts.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     starts = starts.select(F.col("source").alias("s"), F.col("range").alias("r"), "before_range", "source_size", "target")
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *number).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least("size", rest - F.col("before_range") - F.col("before")))
-    return placed.select("doc_id", "key", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return placed.select(*number, "doc_id", "key", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns.
+    """The rows of ``docs`` as often as the mix takes them, with their columns; every row is a document of its own.
 
     The document at the cut is taken whole if at least half of it is taken, as a
     part of it would be another text; so a source misses its target by half a
     document at most.
     """
-    times = mix(sized(docs, seed), weights, most).filter("size > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("__times"))
-    rows = docs.join(times.filter("__times > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    rows = keyed(docs)
+    taken = mix(sized(rows.select("key", "row.doc_id", "row.source", "row.text"), seed, "key"), weights, most).filter("size > 0")
+    times = taken.select("number", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).filter("times > 0")
+    rows = rows.join(times, F.col("key") == F.col("number"))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +103,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: DuckDB SQL for the rows of op9_mixing.
 SQL = r"""
 WITH sizes AS (
-    SELECT doc_id, source, md5(concat(doc_id, '/mix-1')) AS key,
+    SELECT doc_id, source, md5(concat_ws('/', doc_id, 'mix-1', md5(text))) AS key,
            coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 sources AS (
     SELECT source, source_size, weight, (source_size * 3)::DOUBLE AS room, (source_size * 3)::DOUBLE / weight AS per_weight

@@ -30,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import column, removed, slices, table, written
+from .common import column, keyed, partitions, removed, slices, table, written
 from .components import components
 
 WIDTH = 5
@@ -45,10 +45,12 @@ MOST_MATCHES = 6
 #: Other documents that a token without a known frequency is taken to have.
 FLOOR = 0.05
 #: Counters of the frequency estimate, bits of the filters of documents to be verified and of tokens met twice (as powers of two).
-COUNTER_BITS, FILTER_BITS, TOKEN_BITS = 21, 24, 27
+COUNTER_BITS, FILTER_BITS, TOKEN_BITS = 22, 24, 27
 CHUNKS = 32
-#: Rounds in which each document is compared with one pivot.
-TURNS = 2
+#: Rounds in which each document is compared with one pivot, most further ones for crowded groups, and rounds of each document's most promising pair.
+TURNS, MORE_TURNS, FIRST_TURNS = 2, 4, 1
+#: Pairs that one token may form before its documents are a crowd, and documents of a token that a crowd's pairs are formed by.
+CROWD, FEW = 2048, 64
 
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -107,14 +109,15 @@ def _profiles(docs: DataFrame) -> DataFrame:
     """Each document's set size and fingerprint, and each task's token counters; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTER_BITS, np.int64)
+        counts = np.zeros(1 << COUNTER_BITS, np.uint32)
         names = ["doc_id", "n", "f1", "f2", "chunk", "data"]
         none = lambda n, t: pa.nulls(n, t)
         for batch in batches:
             for part, texts in slices(batch):
                 sets = shingle_sets(texts)
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-                counts += np.bincount((flat >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=counts.size)
+                slot, times = np.unique((flat >> np.uint64(64 - COUNTER_BITS)).astype(np.uint32), return_counts=True)
+                counts[slot] += times.astype(np.uint32)
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
                 cut = np.cumsum(size) - size
                 full = np.flatnonzero(size)
@@ -126,18 +129,22 @@ def _profiles(docs: DataFrame) -> DataFrame:
                     prints.append(f.view(np.int64))
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(size, pa.int32()), *map(pa.array, prints), none(k, pa.int32()), none(k, pa.binary())], names=names)
-        data = _chunks(np.minimum(counts, 0xFFFFFFFF))
+        data = _chunks(counts)
         yield pa.RecordBatch.from_arrays([none(CHUNKS, pa.int64()), none(CHUNKS, pa.int32()), none(CHUNKS, pa.int64()), none(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array(data, pa.binary())], names=names)
 
-    return written(docs.mapInArrow(run, "doc_id long, n int, f1 long, f2 long, chunk int, data binary"), "profiles")
+    return written(docs.mapInArrow(run, "doc_id long, n int, f1 long, f2 long, chunk int, data binary"), "profiles", texts=True)
 
 
 def frequency_levels(counts: np.ndarray) -> np.ndarray:
-    """0 where a counter holds no more than its share of noise, else the binary logarithm of how far it stands above."""
+    """0 where a counter holds what chance alone may put there, else the binary logarithm of how far it stands above, from 1 on.
+
+    Most tokens are in one document, so a counter's share of them varies as a Poisson number does.
+    """
     if not counts.size:
         return np.zeros(1 << COUNTER_BITS, np.uint8)
-    noise = max(4.0, 2 * float(counts.sum()) / counts.size)
-    return np.ceil(np.log2(np.maximum(counts / noise, 1))).astype(np.uint8)
+    mean = float(counts.sum(dtype=np.int64)) / counts.size
+    above = (counts - mean) / (4 * mean**0.5 + 3)
+    return np.where(above > 1, np.ceil(np.log2(np.maximum(above, 1))) + 1, 0).astype(np.uint8)
 
 
 def choose_matches(level: np.ndarray, n: int) -> int:
@@ -145,7 +152,7 @@ def choose_matches(level: np.ndarray, n: int) -> int:
 
     Looking up the prefix costs what its tokens' holders number; a candidate costs
     a verification and has l of those hits at least, so there are at most 1/l of
-    them.  Levels are relative to the noise floor; level 0 counts as ``FLOOR``.
+    them.  Levels are relative to chance; level 0 counts as ``FLOOR``.
     """
     need = -(-NUM * n // DEN)
     most = min(MOST_MATCHES, need)
@@ -192,15 +199,11 @@ def _prefixes(docs: DataFrame, levels) -> DataFrame:
                     names=["token", "doc", "n", "pos", "lev", "ell"],
                 )
 
-    return written(docs.mapInArrow(run, "token long, doc long, n int, pos int, lev byte, ell byte"), "prefixes", compression="zstd")
-
+    return written(docs.mapInArrow(run, "token long, doc long, n int, pos int, lev byte, ell byte"), "prefixes", texts=True, compression="zstd")
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc, tokens (packed) of at least the documents in ``wanted`` (doc).
 
-    Texts are not shuffled: a bit filter of the wanted ids, of fixed size however
-    many there are, keeps most others out; the join with the pairs drops the rest.
-    """
+def _bits(wanted: DataFrame) -> np.ndarray:
+    """Bits of fixed number, set for the documents in ``wanted`` (doc) and few others."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
@@ -209,22 +212,29 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             np.bitwise_or.at(seen, h >> 5, np.uint32(1) << (h & 31).astype(np.uint32))
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(_chunks(seen), pa.binary())], names=["chunk", "data"])
 
-    found = _merged(wanted.select("doc").mapInArrow(bits, "chunk int, data binary"), np.bitwise_or)
-    shared = docs.sparkSession.sparkContext.broadcast(found)
+    return _merged(wanted.select("doc").mapInArrow(bits, "chunk int, data binary"), np.bitwise_or)
+
+
+def _chosen(batch: pa.RecordBatch, seen: np.ndarray) -> pa.RecordBatch:
+    if not seen.size:
+        return batch.slice(0, 0)
+    h = _bit(column(batch, "doc_id").fill_null(0).to_numpy(zero_copy_only=False))
+    return batch.filter(pa.array((seen[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, tokens (packed) of the documents in ``wanted`` (doc) and few others; written.
+
+    Texts are not shuffled: bits of the wanted ids, of fixed size however many there are, keep most others out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = shared.value
         for batch in batches:
-            if not seen.size:
-                continue
-            ids = column(batch, "doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            h = _bit(ids)
-            keep = pa.array((seen[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1)
-            for part, texts in slices(batch.filter(keep)):
-                sets = shingle_sets(texts)
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "tokens"])
+            for part, texts in slices(_chosen(batch, shared.value)):
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["doc", "tokens"])
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "doc long, tokens binary")
+    return written(docs.filter("doc_id is not null").mapInArrow(run, "doc long, tokens binary"), "sets", texts=True)
 
 
 def _met_twice(prefixes: DataFrame) -> np.ndarray:
@@ -276,6 +286,26 @@ def _maybe_shared(prefixes: DataFrame) -> DataFrame:
     return prefixes.mapInArrow(run, prefixes.schema)
 
 
+def _held_by_several(prefixes: DataFrame) -> DataFrame:
+    """The rows of ``prefixes`` whose token has other rows; rows of a token lie side by side and are looked at in passing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, True  # the row before, and whether it has come out
+        for batch in batches:
+            if not len(batch):
+                continue
+            token = column(batch, "token").to_numpy(zero_copy_only=False)
+            same = np.concatenate([[last is not None and column(last, "token")[0].as_py() == token[0]], token[1:] == token[:-1]])
+            if same[0] and not kept:
+                yield last
+            keep = same.copy()
+            keep[:-1] |= same[1:]
+            yield batch.filter(pa.array(keep))
+            last, kept = batch.slice(len(batch) - 1), bool(keep[-1])
+
+    return prefixes.repartition(partitions(prefixes.sparkSession), "token").sortWithinPartitions("token").mapInArrow(run, prefixes.schema)
+
+
 def _bit(ids: np.ndarray) -> np.ndarray:
     return (wh.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -286,8 +316,9 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     Sets join their second documents first: in a star around a, those differ, and
     a's own set meets them only in the last join, where nothing is shuffled on.
     """
-    sets = {x: _sets_of(docs, pairs.select(F.col(x).alias("doc")).distinct()).select(F.col("doc").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab"}
-    both = pairs.join(sets["b"], "b").join(sets["a"], "a")
+    sets = _sets(docs, pairs.select(F.col("a").alias("doc")).union(pairs.select("b")))
+    side = {x: sets.select(F.col("doc").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab"}
+    both = pairs.join(side["b"], "b").join(side["a"], "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,7 +336,9 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    return written(both.mapInArrow(run, "a long, b long").distinct(), "similar")
+    out = written(both.mapInArrow(run, "a long, b long").distinct(), "similar", texts=True)
+    removed(sets)
+    return out
 
 
 def _and(links: DataFrame | None, more: DataFrame) -> DataFrame:
@@ -331,29 +364,28 @@ def _classes(shared: DataFrame, links: DataFrame | None, turn: int) -> tuple[Dat
     return classed.join(main.select("token", "main"), "token"), main.drop("main")
 
 
-def _stars(classed: DataFrame, pivots: DataFrame) -> DataFrame:
-    """For each document the pivot, of another class, with which it shares most tokens, if that is a quarter of its prefix; written."""
+def _stars(classed: DataFrame, pivots: DataFrame, least: int = 4) -> DataFrame:
+    """For each document the pivot, of another class, with which it shares most tokens, if that is a ``least``-th of its prefix; written."""
     star = classed.filter("class != main").join(pivots, "token").filter(f"{DEN} * least(m, n) >= {NUM} * greatest(m, n)")
     size = F.max(F.expr(f"n - ceil({NUM} * n / {DEN}) + greatest(ell, 1)"))
-    star = star.groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), size.alias("size")).filter("4 * c >= size")
+    star = star.groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), size.alias("size")).filter(f"{least} * c >= size")
     best = star.groupBy("b").agg(F.max(F.struct("c", -F.col("a"), "a")).alias("x"))
     return written(best.select("x.a", "b"), "pairs")
 
 
-def _candidates(classed: DataFrame) -> DataFrame:
-    """Pairs of documents of different classes that share as many prefix tokens as the probe asks for; written.
+def _met(classed: DataFrame, condition: Column) -> DataFrame:
+    """Pairs of documents of different classes that share as many prefix tokens as the probe asks for, and by how much they may be more similar than need be.
 
-    Tokens have one order, so what two sets share past the last token that both
-    prefixes have is at most what is left of either; pairs that cannot reach the
-    required number that way go too.  The same holds for what lies before a shared
-    token: a token of either prefix there that no other class has is not shared, and
-    a pair for which that leaves too few is not even formed.
+    ``classed`` also has ``own``: the place of a token in its prefix among the tokens that no other class has, and
+    ``able``: the most tokens that the document can share with another class at all.  Tokens have one order, so what
+    two sets share past the last token that both prefixes have is at most what is left of either; pairs that cannot
+    reach the required number that way go too.  The same holds for what lies before a shared token: a token of either
+    prefix there that no other class has is not shared, and a pair for which that leaves too few is not even formed.
+    ``condition`` is one more on x_* and y_*.
     """
-    before = Window.partitionBy("doc").orderBy("pos")
-    classed = classed.withColumn("own", F.col("pos") - F.row_number().over(before) + 1)
-    side = {x: classed.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "pos", "own", "lev", "ell", "class", "main"))) for x in "xy"}
+    side = {x: classed.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "pos", "own", "lev", "ell", "class", "main", "able", "crowd"))) for x in "xy"}
     # x is outside its token's main class, y anywhere; pairs of two outsiders come up from both sides and count once.
-    met = side["x"].filter("x_class != x_main").join(side["y"], "token").filter("x_class != y_class and (y_class = y_main or x_doc < y_doc)")
+    met = side["x"].filter("x_class != x_main").join(side["y"], "token").filter("x_class != y_class and (y_class = y_main or x_doc < y_doc)").filter(condition)
     x_longer = F.expr("(x_n > y_n) or (x_n = y_n and x_doc > y_doc)")
 
     def both(c: str) -> tuple:
@@ -365,18 +397,126 @@ def _candidates(classed: DataFrame) -> DataFrame:
     # Of either, only as many first tokens count as this pair's own requirement asks for.
     for x in "xy":
         met = met.filter((NUM + DEN) * (F.col(f"{x}_n") - F.col(f"{x}_pos") + ell - 1) >= NUM * (F.col("x_n") + F.col("y_n")))
-    met = met.filter((NUM + DEN) * F.least(F.expr("x_n - x_own"), F.expr("y_n - y_own")) >= NUM * (F.col("x_n") + F.col("y_n")))
+    before, after = (F.least(F.expr(f"x_{a} - x_{b}"), F.expr(f"y_{a} - y_{b}")) for a, b in (("pos", "own"), ("n", "pos")))
+    met = met.filter((NUM + DEN) * F.least(before + after, "x_able", "y_able") >= NUM * (F.col("x_n") + F.col("y_n")))
     met = met.select(s.alias("a"), p.alias("b"), ell.alias("ell"), sn.alias("an"), pn.alias("bn"), sp.alias("ap"), pp.alias("bp"))
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("ell", "an", "bn", "ap", "bp")))
     most = F.col("c") + F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) - 1
-    return written(pairs.filter((F.col("c") >= F.col("ell")) & ((NUM + DEN) * most >= NUM * (F.col("an") + F.col("bn")))).select("a", "b"), "pairs")
+    margin = ((NUM + DEN) * most - NUM * (F.col("an") + F.col("bn"))).cast("long").alias("margin")
+    return pairs.filter(F.col("c") >= F.col("ell")).select("a", "b", margin).filter("margin >= 0")
+
+
+def _crowd_tokens(crowd: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc, token of the whole sets of the documents in ``crowd`` (doc); written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, raw in zip(column(batch, "doc").to_pylist(), column(batch, "tokens")):
+                tokens = np.frombuffer(raw.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(tokens.size, doc, np.int64)), pa.array(tokens)], names=["doc", "token"])
+
+    sets = _sets(docs, crowd)
+    own = sets.join(crowd.select("doc"), "doc", "left_semi")
+    out = written(own.mapInArrow(run, "doc long, token long"), "crowd-tokens", texts=True, compression="zstd")
+    removed(sets)
+    return out
+
+
+def _crowded(classed: DataFrame) -> DataFrame:
+    """The tokens that would form more than ``CROWD`` pairs."""
+    per = classed.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.sum(F.expr("cast(class != main as long)")).alias("out"))
+    return per.filter(F.col("out") * F.col("all") > CROWD).select("token")
+
+
+def _candidates(classed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of documents of different classes that may be similar, none of the similar ones missing; written.
+
+    A token is crowded if documents outside its main class times all its documents exceed ``CROWD``; the crowd are the
+    documents that have such a token in their prefix.  A pair that is not inside the crowd shares no crowded token, so
+    the other tokens find it, each with a bounded number of pairs.  For the crowd, tokens of whole sets are counted
+    among the crowd.  A token that one class has is shared with no other.  Tokens that ``FEW`` documents at most have
+    are joined, which gives a bounded number of pairs for each, and a pair stands only if what it shares of these and
+    the common tokens of either together reach what is required.  A pair that shares none of these must reach it with
+    common tokens alone; few documents can, and only those are joined by prefix.  In a group of copies that were
+    edited one by one, edits are tokens of few, so almost no pair is formed in vain.
+    """
+    before = Window.partitionBy("doc").orderBy("pos")
+    classed = classed.withColumn("own", F.col("pos") - F.row_number().over(before) + 1)
+    crowded = written(_crowded(classed), "crowded")
+    crowd = written(classed.join(crowded, "token", "left_semi").groupBy("doc").agg(F.max("n").alias("n"), F.max("class").alias("class")), "crowd")
+
+    flagged = classed.join(crowd.select("doc", F.lit(True).alias("crowd")), "doc", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    sparse = _met(flagged.join(crowded, "token", "left_anti").withColumn("able", F.col("n")), F.expr("not (x_crowd and y_crowd)"))
+
+    tokens = _crowd_tokens(crowd, docs)
+    held = tokens.join(crowd.select("doc", "class"), "doc")
+    per = held.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("token", "c")
+    shared = written(tokens.join(per, "token"), "crowd-shared", compression="zstd")
+    few = shared.filter(f"c <= {FEW}").select("token", "doc")
+    known = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("most"), F.sum(F.expr(f"cast(c > {FEW} as long)")).alias("able"))
+    known = written(known.join(crowd, "doc"), "crowd-known")
+    # Only documents that can be similar to any other at all.
+    rows = few.join(known.filter(f"{DEN} * most >= {NUM} * n"), "doc")
+    side = {x: rows.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "class", "able", "most"))) for x in "ab"}
+    joined = side["a"].join(side["b"], "token").filter(f"a_doc < b_doc and a_class != b_class and {NUM + DEN} * least(a_most, b_most) >= {NUM} * (a_n + b_n)")
+    joined = joined.groupBy(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(F.expr(f"{NUM} * (a_n + b_n) - {NUM + DEN} * least(a_able, b_able)")).alias("short"))
+    by_few = joined.select("a", "b", F.expr(f"cast({NUM + DEN} * c - short as long)").alias("margin")).filter("margin >= 0")
+    able = classed.join(known.filter(f"{DEN} * able >= {NUM} * n").select("doc", "able"), "doc").withColumn("crowd", F.lit(True))
+    by_common = _met(able, F.lit(True))
+    every = sparse.union(by_few).union(by_common)
+    return written(every.groupBy("a", "b").agg(F.max("margin").alias("margin")), "pairs")
+
+
+def _linked(pairs: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
+    """``links`` and similar pairs among ``pairs`` (a, b, margin) that join all classes which any of them joins.
+
+    Each document's most promising pair goes first.  Pairs inside a class that has come together need no check; in the
+    last round all that are left are checked.
+    """
+    for turn in range(FIRST_TURNS + 1):
+        if turn:
+            known = written(components(links), "known")
+            for x in "ab":
+                pairs = pairs.join(known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+            # A pair that has been checked without being similar is checked again at most once, at the end.
+            pairs = written(pairs.filter("ca != cb").select("a", "b", "margin"), "pairs")
+        own = pairs
+        if turn < FIRST_TURNS:
+            best = [pairs.groupBy(x).agg(F.max(F.struct("margin", F.xxhash64("a", "b", F.lit(turn)).alias("h"), y)).alias("m")).select(F.col(x), f"m.{y}") for x, y in ("ab", "ba")]
+            own = written(best[0].select("a", "b").union(best[1].select("a", "b")).distinct(), "pairs")
+        links = _and(links, _verified(own.select("a", "b"), docs))
+    return links
+
+
 
 
 def similar_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
     profiles = _profiles(docs)
+    again = profiles.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    if again.isEmpty():
+        return _classes_of(docs, profiles)
+    # Ids repeat: rows get numbers, and those of one id are linked besides.
+    rows = keyed(docs.filter("doc_id is not null")).select("key", "row.doc_id", "row.text")
+    numbered = rows.select(F.col("key").alias("doc_id"), "text")
+    found = written(_classes_of(numbered, _profiles(numbered)), "classes")
+    named = found.select(F.col("doc_id").alias("key"), "n_shingles", "component_id").join(rows.select("key", "doc_id"), "key")
+    same = named.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("a"))
+    links = named.filter("n_shingles > 0").select("doc_id", F.col("component_id").alias("b")).join(same, "doc_id").select("a", "b").distinct()
+    both = components(links).withColumnRenamed("component", "joined")
+    named = named.join(both, F.col("component_id") == F.col("node"), "left").withColumn("joined", F.coalesce("joined", "component_id")).drop("node")
+    full = named.filter("n_shingles > 0").select("doc_id", "joined").distinct()
+    name = full.groupBy("joined").agg(F.min("doc_id").alias("least"))
+    of = full.join(name, "joined").select("doc_id", "least")
+    named = named.select("doc_id", "n_shingles").join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    none = profiles.filter("chunk is null and doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return named.union(none)
+
+
+def _classes_of(docs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``similar_classes`` where no ``doc_id`` repeats."""
+    spark = docs.sparkSession
     counts = _merged(profiles.filter("chunk is not null").select("chunk", "data"), np.add)
     levels = spark.sparkContext.broadcast(frequency_levels(counts))
     rows = profiles.filter("chunk is null").select("doc_id", "n", "f1", "f2")
@@ -386,17 +526,18 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     copies = written(copies, "copies")
 
     prefixes = _prefixes(docs, levels)
-    likely = written(_maybe_shared(prefixes), "prefixes", compression="zstd")
+    several = written(_held_by_several(_maybe_shared(prefixes)), "prefixes", compression="zstd")
     removed(prefixes)
-    met = likely.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("lev").alias("i"), F.max("ell").alias("p")).filter("c > 1 and i > 0 and p > 0").select("token")
-    shared = likely.join(met, "token", "left_semi").join(copies.select("doc"), "doc", "left_anti")
-    shared = written(shared, "shared", compression="zstd")
-    removed(likely)
+    likely = several.join(copies.select("doc"), "doc", "left_anti")
+    met = likely.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("lev").alias("i"), F.max("ell").alias("p")).filter("df > 1 and i > 0 and p > 0").select("token", "df")
+    shared = written(likely.join(met, "token"), "shared", compression="zstd")
+    removed(several)
     # How common a document's tokens are: in a group of copies of one text, each edited by itself, that text stands out,
     # as its tokens are in all copies, and it may be the only one that all of them are similar to.
-    held = shared.join(shared.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
-    score = held.groupBy("doc").agg((F.sum("df") / F.max("n")).alias("score"))
-    shared = written(shared.join(score, "doc"), "shared", compression="zstd")
+    score = written(shared.groupBy("doc").agg((F.sum("df") / F.max("n")).alias("score")), "scores")
+    scored = written(shared.drop("df").join(score, "doc"), "shared", compression="zstd")
+    removed(shared)
+    shared = scored
 
     # Two rounds of one check at most for each document, then all candidates between different classes.
     links = None
@@ -404,9 +545,26 @@ def similar_classes(docs: DataFrame) -> DataFrame:
         classed, main = _classes(shared, links, turn)
         links = _and(links, _verified(_stars(classed, main), docs))
     classed, _ = _classes(shared, links, 0)
-    more = _verified(_candidates(written(classed, "classed", compression="zstd")), docs)
-
-    both = components(links.union(more))
+    classed = written(classed, "classed", compression="zstd")
+    # In groups that are crowded still, more rounds, as long as they find links: first with the documents whose tokens are
+    # most common, as the first round's classes have come together meanwhile.
+    crowded = written(_crowded(classed), "crowded")
+    if not crowded.isEmpty():
+        small = written(shared.join(crowded, "token", "left_semi"), "crowded-rows")
+        for turn in range(MORE_TURNS):
+            own, main = _classes(small, links, turn and TURNS + turn)
+            found = _verified(_stars(own, main, 100), docs)
+            if found.isEmpty():
+                break
+            links = _and(links, found)
+        removed(small)
+        removed(classed)
+        classed = written(_classes(shared, links, 0)[0], "classed", compression="zstd")
+    removed(shared)
+    links = _linked(_candidates(classed, docs), links, docs)
+    removed(classed)
+
+    both = components(links)
     named = full.join(groups, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "rep")
     named = named.join(both, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     alone = rows.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))

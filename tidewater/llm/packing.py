@@ -343,7 +343,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID,
                 )
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(typed.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"), "pieces")
+    return written(typed.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"), "pieces", texts=True)
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> DataFrame:

@@ -2,25 +2,31 @@
 
 Base rules reject texts with fewer than 50 words, and texts more than half of whose
 words lie in repeated three-word windows.  Four more rules reject by a ratio above
-a cutoff.  Their cutoffs come from labelled documents that pass the base rules, for
-each stratum (language) and rule on its own:
-
-* a cutoff is certified if the exact binomial tail P(Bin(n, risk) <= k) is at most
-  its share of ``delta``, where k of the n good documents of the stratum would be
-  rejected: then, at confidence 1 - delta for all strata and rules together, no
-  rule rejects more than ``risk`` of the good documents of any stratum.  A lower
-  cutoff rejects more, so the certified ones form an upper range, which is walked
-  downwards (fixed-sequence testing: no correction along the grid); rules and
-  strata share ``delta`` equally (Bonferroni);
-* of the certified cutoffs, the one that rejects most bad labelled documents, a
-  rejected good one counting ``price`` bad ones; the highest of equals.
-
-A stratum whose labels do not suffice gets no cutoff, so only the base rules act
-there.  Cutoffs stand on grids fixed in advance.  Calibration sees one row for each
-stratum, rule and grid cell, however many documents are labelled.
+a cutoff, each stratum (language) having its own cutoffs.  Labelled documents that
+pass the base rules are split by a hash of ``doc_id``:
+
+* one third chooses, for each stratum and rule, the cutoff that rejects most bad
+  documents, a rejected good one counting ``price`` bad ones; the highest of equals;
+* the other two thirds, the holdout, certify.  All cutoffs of a stratum tighten
+  together in ``STEPS`` steps from the loosest, which rejects nothing, to the chosen
+  ones.  A step is certified if the exact binomial tail P(Bin(n, risk) <= k) is at
+  most delta / strata, where the rules together reject k of the stratum's n good
+  held-out documents.  Rejections grow with the steps, so the certified ones are the
+  first ones, and the last of them is taken (fixed-sequence testing: no correction
+  along the steps; Bonferroni over the strata).
+
+So, at confidence 1 - delta for all strata together, the four rules together reject at
+most a share ``risk`` of the good documents of each stratum.  That takes
+ln(delta / strata) / ln(1 - risk) good held-out documents.  Languages with fewer are
+pooled as one stratum, for which the promise then holds as a whole; whether to pool
+depends on numbers of documents alone, not on their rejections.  A language without
+labels, or a pool that is still too small, gets no cutoffs: only the base rules act.
+
+Cutoffs stand on grids fixed in advance.  Calibration sees one row for each stratum,
+rule and grid cell, however many documents are labelled.
 
 Defined cases: a null or empty text has no words and is rejected; null language is
-a stratum of its own; labels with a null value or without their document say
+a language of its own; labels with a null value or without their document say
 nothing; a document with several labels counts once for each; an empty table gives
 no rows; further columns are ignored.
 """
@@ -36,7 +42,7 @@ from .common import table, written
 
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEATED = 50, 50
-RISK, DELTA, PRICE, CELLS = 0.01, 0.05, 5, 50
+RISK, DELTA, PRICE, CELLS, STEPS = 0.05, 0.05, 5, 50, 10
 
 
 def words(text: Column) -> Column:
@@ -49,10 +55,14 @@ def windows(w: Column) -> Column:
     return F.when(last >= 2, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """The counts of every document of ``docs`` (doc_id, lang, text); written: texts are read once."""
+def features(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """The counts of every document of ``docs`` (doc_id, lang, text); written: texts are read once.
+
+    ``whole``: also all columns of ``docs`` as the struct ``row``.
+    """
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * whole
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", "lang", text.alias("text"), words(F.col("text")).alias("w"))
+    df = docs.select("doc_id", "lang", text.alias("text"), words(F.col("text")).alias("w"), *row)
     # Most texts repeat no window and need nothing more than a count of the distinct ones.
     df = df.withColumn("h", windows(F.col("w")))
     df = df.withColumn("repeats", F.coalesce(F.size(F.array_distinct("h")) < F.size("h"), F.lit(False)))
@@ -76,6 +86,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.when(F.col("repeats"), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.regexp_count("text", F.lit(r"!")).cast("long").alias("n_shouts"),
         F.size(lines).cast("long").alias("n_lines"),
+        *["row"] * whole,
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return written(out.withColumn("base_failed", failed), "quality")
@@ -110,40 +121,65 @@ def log_tail(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), F.struct(first.alias("term"), first.alias("sum")), step, lambda a: a["sum"])
 
 
+def _first_step(cell: Column, chosen: Column) -> Column:
+    """The first step at which a document in ``cell`` is rejected, if the last one's cutoff is ``chosen``; null: none."""
+    return F.when(cell > chosen, F.floor(STEPS * (CELLS - cell) / (CELLS - chosen)) + 1)
+
+
 def cutoffs(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, price: float = PRICE) -> DataFrame:
-    """stratum, rule, cell, n_good, rejected: the chosen cutoff of each stratum and rule that has one."""
-    judged = found.filter("not base_failed").join(labels.select("doc_id", "quality").filter("quality is not null"), "doc_id")
-    cells = F.array(*(F.struct(F.lit(r).alias("rule"), _cell(r).alias("cell")) for r in RULES))
-    rows = judged.select("lang", "quality", F.explode(cells).alias("c")).select("lang", "quality", "c.rule", "c.cell")
-    per_cell = rows.groupBy("lang", "rule", "cell").agg(F.sum((F.col("quality") > 0).cast("long")).alias("good"), F.sum((F.col("quality") <= 0).cast("long")).alias("bad"))
-    # Every cutoff of the grid is tried, also where no labelled document lies.
-    grid = per_cell.select("lang", "rule").distinct().select("lang", "rule", F.explode(F.sequence(F.lit(0), F.lit(CELLS))).alias("cell"))
-    full = grid.alias("g").join(per_cell.alias("p"), F.col("g.lang").eqNullSafe(F.col("p.lang")) & (F.col("g.rule") == F.col("p.rule")) & (F.col("g.cell") == F.col("p.cell")), "left")
-    full = full.select("g.lang", "g.rule", "g.cell", F.coalesce("p.good", F.lit(0)).alias("good"), F.coalesce("p.bad", F.lit(0)).alias("bad"))
-    mine = Window.partitionBy("lang", "rule")
-    above = mine.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
-    full = full.select("lang", "rule", "cell", F.sum("good").over(mine).alias("n"), F.coalesce(F.sum("good").over(above), F.lit(0)).alias("k"), F.coalesce(F.sum("bad").over(above), F.lit(0)).alias("bad"))
-    strata = per_cell.groupBy("lang").agg(F.count(F.lit(1)).alias("x")).agg(F.count(F.lit(1)).alias("strata"))
-    full = full.join(F.broadcast(strata))  # one row
-    full = full.filter(F.col("k") < F.col("n") * risk)  # beyond that the tail is about a half or more
-    share = F.log(F.lit(delta) / (F.col("strata") * len(RULES)))
-    certified = full.withColumn("tail", log_tail(F.col("n"), F.col("k"), risk)).filter((F.col("tail") <= share) & (F.col("bad") > 0))
-    best = certified.groupBy("lang", "rule").agg(F.max(F.struct((F.col("bad") - price * F.col("k")).alias("worth"), "cell", "n", "k")).alias("b")).filter("b.worth > 0")
-    return best.select("lang", "rule", F.col("b.cell").alias("cell"), F.col("b.n").alias("n_good"), F.col("b.k").alias("rejected"))
+    """lang, pooled, n_good, rejected, and cut_<rule>, the cell above which the rule rejects, or null; one row for each language with labels; written."""
+    cells = [_cell(r).alias(f"c_{r}") for r in RULES]
+    known = found.filter("not base_failed").join(labels.select("doc_id", "quality").filter("quality is not null"), "doc_id")
+    holdout = F.pmod(F.xxhash64("doc_id", F.lit("holdout")), F.lit(3)) > 0
+    known = known.select("lang", (F.col("quality") > 0).alias("good"), holdout.alias("holdout"), *cells)
+    # Whatever the number of labels, one row for each language, half and combination of cells goes on.
+    known = written(known.groupBy("lang", "good", "holdout", *(f"c_{r}" for r in RULES)).agg(F.count(F.lit(1)).alias("docs")), "quality-labels")
+
+    every = Window.partitionBy(F.lit(0))  # one row for each language
+    n = F.sum(F.when(F.col("good") & F.col("holdout"), F.col("docs")).otherwise(0))
+    strata = known.groupBy("lang").agg(n.alias("n")).withColumn("langs", F.count(F.lit(1)).over(every))
+    pooled = F.col("n") < F.ceil(F.log(F.lit(delta) / F.col("langs")) / math.log1p(-risk))
+    strata = strata.withColumn("pooled", pooled).withColumn("stratum", F.struct("pooled", F.when(~F.col("pooled"), F.col("lang")).alias("lang")))
+    count = F.sum(F.expr("cast(not pooled as int)")).over(every) + F.max(F.expr("cast(pooled as int)")).over(every)
+    strata = written(strata.select(F.col("lang").alias("of"), "pooled", "stratum", count.alias("strata")), "quality-strata")
+    known = known.join(F.broadcast(strata), F.col("lang").eqNullSafe(F.col("of")))
+
+    # Choosing: documents above each cutoff, bad and good.
+    chooses = known.filter("not holdout")
+    cells = F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"c_{r}").alias("cell")) for r in RULES))
+    cells = chooses.select("stratum", "good", "docs", F.explode(cells).alias("c")).filter("c.cell > 0")
+    above = cells.select("stratum", "good", "docs", "c.rule", F.explode(F.sequence(F.lit(0), F.col("c.cell") - 1)).alias("cut"))
+    worth = F.sum(F.when(F.col("good"), -price * F.col("docs")).otherwise(F.col("docs").cast("double")))
+    best = above.groupBy("stratum", "rule", "cut").agg(worth.alias("worth")).filter("worth > 0").groupBy("stratum", "rule").agg(F.max(F.struct("worth", "cut")).alias("b"))
+    chosen = best.groupBy(F.col("stratum").alias("s")).agg(*(F.max(F.when(F.col("rule") == r, F.col("b.cut"))).alias(f"last_{r}") for r in RULES))
+    chosen = written(chosen, "quality-chosen")
+
+    # Certifying: good held-out documents by the first step that rejects them.
+    tests = known.filter("holdout and good").join(F.broadcast(chosen), F.col("stratum") == F.col("s"))
+    first = F.least(*(_first_step(F.col(f"c_{r}"), F.col(f"last_{r}")) for r in RULES), F.lit(STEPS + 1).cast("long"))
+    hits = tests.groupBy("stratum", "strata", first.alias("first")).agg(F.sum("docs").alias("docs"))
+    hits = hits.groupBy("stratum", "strata").agg(F.sum("docs").alias("n"), F.collect_list(F.struct("first", "docs")).alias("hits"))  # at most a row for each step
+    steps = hits.select("stratum", "strata", "n", "hits", F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("step"))
+    k = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + F.when(x["first"] <= F.col("step"), x["docs"]).otherwise(F.lit(0)))
+    steps = steps.withColumn("k", k).filter(F.col("k") < F.col("n") * risk)  # beyond that the tail is about a half or more
+    steps = steps.filter(log_tail(F.col("n"), F.col("k"), risk) <= F.log(F.lit(delta) / F.col("strata")))
+    last = steps.groupBy(F.col("stratum").alias("t")).agg(F.max(F.struct("step", "n", "k")).alias("b"))
+    cut = lambda r: F.floor(CELLS - F.col("b.step") * (CELLS - F.col(f"last_{r}")) / STEPS).cast("int").alias(f"cut_{r}")
+    out = strata.join(F.broadcast(chosen), F.col("stratum") == F.col("s"), "left").join(F.broadcast(last), F.col("stratum") == F.col("t"), "left")
+    return written(out.select(F.col("of").alias("lang"), "pooled", F.col("b.n").alias("n_good"), F.col("b.k").alias("rejected"), *map(cut, RULES)), "quality-cutoffs")
 
 
 def judged(found: DataFrame, labels: DataFrame, **levels: float) -> DataFrame:
-    """``found`` with kept: false if a base rule or a certified rule of the stratum rejects."""
-    chosen = cutoffs(found, labels, **levels)
-    pivot = chosen.groupBy(F.col("lang").alias("stratum")).agg(*(F.max(F.when(F.col("rule") == r, F.col("cell"))).alias(f"cut_{r}") for r in RULES))
-    pivot = written(pivot, "quality-cutoffs")  # one row for each language, so that its size is known when the join is planned
-    rows = found.join(pivot, F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    """``found`` with kept, false if a base rule or a certified rule of the stratum rejects, and the ratios cut_<rule> above which rules reject (null: none)."""
+    chosen = cutoffs(found, labels, **levels).select(F.col("lang").alias("of"), *(f"cut_{r}" for r in RULES))  # one row for each language
+    rows = found.join(chosen, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
     passes = ~F.col("base_failed")
     for r in RULES:
         passes &= F.coalesce(_cell(r) <= F.col(f"cut_{r}"), F.lit(True))
-    return rows.withColumn("kept", passes).drop("stratum", *(f"cut_{r}" for r in RULES))
+    rows = rows.withColumn("kept", passes)
+    return rows.withColumns({f"cut_{r}": F.col(f"cut_{r}") * (RULES[r][2] / CELLS) for r in RULES})
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = features(table(spark, sf_dir, "documents"))
-    return judged(found, table(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged(found, table(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", *(f"cut_{r}" for r in RULES))

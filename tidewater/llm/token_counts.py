@@ -8,7 +8,8 @@ token ends), and a token that lies in several sections goes to one by rule:
 ``first``    the section that holds its first byte;
 ``last``     the section that holds its last byte.
 
-Sections are the lines, each with its newline.  All tokens go to some section, so
+Spans are of bytes: a token may hold a part of a character, which no span of characters
+has.  Sections are the lines, each with its newline.  All tokens go to some section, so
 the sections' counts add up to the document's.
 
 Defined cases: a null or empty text is one empty section without tokens; a
