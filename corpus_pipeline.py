@@ -4,9 +4,12 @@ Each stage works on all documents that the one before it kept, and all but the l
 return the columns of ``documents``.  ``run`` writes each stage's result to the
 shared folder and reads it again for the next.
 
-Defined cases are those of the operators; a text that line dedup empties stays as an
-empty document, and of near duplicates the document with the smallest ``doc_id``
-stays (all rows with null ``doc_id`` stay).
+Each row is a document, also where ``doc_id`` is null or repeated, except that lines
+are compared by ``doc_id``: rows that share one are one document there, and rows
+without one keep all their lines.  A text that line dedup empties stays as an empty
+document.  Of near duplicates the row with the smallest ``doc_id`` stays, null last.
+Columns besides those of ``documents`` come along, whatever their names.  The other
+defined cases are those of the operators.
 """
 
 from __future__ import annotations
@@ -15,25 +18,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import line_dedup, mixing, ngram_join, packing, quality
-from tidewater.llm.common import table, written
+from tidewater.llm.common import keyed, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no base rule and no certified rule of their language rejects."""
-    kept = quality.judged(quality.features(docs), table(spark, sf_dir, "labels")).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return quality.judged(quality.features(docs, whole=True), table(spark, sf_dir, "labels")).filter("kept").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
+    lines = line_dedup.dedup_lines(docs.select("doc_id", "text", rest))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return lines.select(*(new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
-    lost = ngram_join.similar_classes(docs).filter("component_id != doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("__id"), "left_anti")
+    """One document of each class of near duplicates; each row is a document."""
+    rows = keyed(docs)
+    classes = ngram_join.similar_classes(rows.select(F.col("key").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("key"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    kept = rows.select("key", "row.doc_id").join(classes, "key").groupBy("component_id").agg(first.alias("x")).select("x.key")
+    return rows.join(kept, "key", "left_semi").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
