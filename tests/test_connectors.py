@@ -111,3 +111,17 @@ def test_print_and_checksum_sinks(spark, capsys):
     e.sql("SELECT * FROM s INTO Print(); SELECT * FROM s INTO Checksum()")
     out = capsys.readouterr().out.split("\n")
     assert sorted(out[:2]) == ["1", "2"] and out[2] == f"2 {sum(b'1\n2\n')}"
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from tidewater.__main__ import main
+
+    (tmp_path / "a.sql").write_text("""CREATE LOGICAL SOURCE s(a INT32, b VARSIZED); CREATE PHYSICAL SOURCE FOR s TYPE Inline SET('1,x\n,y' AS "SOURCE".ROWS); SHOW LOGICAL SOURCES;""")
+    assert main([str(tmp_path / "a.sql"), "-e", "SHOW SINKS"], spark) == 0
+    assert capsys.readouterr().out.split("\n")[:3] == ["NAME,SCHEMA,TYPE,CONFIG", "NAME,SCHEMA", "S,A INT32, B VARSIZED"]
+    monkeypatch.setattr("sys.stdin", io.StringIO((tmp_path / "a.sql").read_text() + "\nSELECT b, a\nFROM s;\n"))
+    assert main([], spark) == 0
+    assert sorted(capsys.readouterr().out.split("\n")[-4:]) == ["", "B,A", "x,1", "y,NULL"]
+    assert main(["-e", "SELECT a FROM nowhere"], spark) == 1 and "2030" in capsys.readouterr().err
