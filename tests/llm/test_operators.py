@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -472,6 +473,23 @@ def test_plan_is_the_optimum(lengths):
     assert sum(t for _, t in packing.plan(np.bincount(lengths, minlength=13), 12)) == fewest
 
 
+def test_packing_keeps_few_enumerations(monkeypatch):
+    """The search is as deep as there are fillings; its memory is not, and what it finds is the same as with all of them kept."""
+    lengths = np.clip(np.random.default_rng(1).lognormal(5.9, 0.8, 3000), 1, 2048).astype(int)
+    tracemalloc.start()
+    packing.plan(3 * np.bincount(lengths, minlength=2049), max_nodes=800)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 45e6, most
+    rng = np.random.default_rng(2)
+    for _ in range(8):
+        counts, found = np.bincount(rng.integers(20, 60, 60), minlength=101), []
+        for live in (10**9, 1, 3):
+            monkeypatch.setattr(packing, "LIVE", live, raising=False)
+            found.append(packing.plan(counts, 100, 500))
+        assert found[0] == found[1] == found[2]
+
+
 def png():
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", b"xx") + chunk(b"IEND", b"")

@@ -143,8 +143,11 @@ def frequency_levels(counts: np.ndarray) -> np.ndarray:
     if not counts.size:
         return np.zeros(1 << COUNTER_BITS, np.uint8)
     mean = float(counts.sum(dtype=np.int64)) / counts.size
-    above = (counts - mean) / (4 * mean**0.5 + 3)
-    return np.where(above > 1, np.ceil(np.log2(np.maximum(above, 1))) + 1, 0).astype(np.uint8)
+    out = np.zeros(counts.size, np.uint8)
+    high = np.flatnonzero(counts > mean + 4 * mean**0.5 + 3)
+    for at in np.array_split(high, 1 + high.size // (1 << 16)):  # the driver does this for all counters
+        out[at] = np.ceil(np.log2((counts[at] - mean) / (4 * mean**0.5 + 3))) + 1
+    return out
 
 
 def choose_matches(level: np.ndarray, n: int) -> int:

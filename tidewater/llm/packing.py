@@ -43,6 +43,8 @@ from .encode import BYTE, encoder
 VOCABULARY, END_ID, CAPACITY, MAX_NODES = "byte_bpe_50k.json", 0, 2048, 20_000
 #: Steps of the enumeration for each filling that may be tried.
 STEPS = 20
+#: Enumerations of fillings that the search keeps; what it finds does not depend on it.
+LIVE = 16
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -245,30 +247,40 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, max_nodes: int = MAX_NODE
     chosen: list[tuple[tuple[int, ...], int]] = []
     wasted = nodes = steps = 0
 
-    def spend() -> bool:
-        nonlocal steps
-        steps += 1
-        return steps <= STEPS * max_nodes
-
-    def moves() -> Iterator[tuple[tuple[int, ...], int]]:
+    def moves(again: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Fillings for the longest piece left; the first ``again`` have come before and cost no steps."""
         head = max(x for x in range(capacity + 1) if left[x])
-        own = left.copy()
+        own, done = left.copy(), 0
         own[head] -= 1
+
+        def spend() -> bool:
+            nonlocal steps
+            steps += done >= again
+            return done < again or steps <= STEPS * max_nodes
+
         for fill in _fillings(own, capacity - head, spend):
             fill = (head, *fill)
             times = min(left[x] // n for x, n in Counter(fill).items())
-            yield fill, times
-            if times > 1:  # any number between follows from single ones
-                yield fill, 1
-
-    stack = [moves()] if best > bound else []
+            for often in (times, 1) if times > 1 else (times,):  # any number between follows from single ones
+                done += 1
+                if done > again:
+                    yield fill, often
+
+    # Of each place in the search its fillings and how many were tried.  Enumerations are large and the search is as deep
+    # as there are fillings, so only the last ``LIVE`` are kept; others begin again when the search comes back to them.
+    stack: list[tuple[Iterator | None, int]] = [(moves(0), 0)] if best > bound else []
     while stack and best > bound:
         if len(chosen) == len(stack):  # coming back from below
             fill, times = chosen.pop()
             for x in fill:
                 left[x] += times
             wasted -= times * (capacity - sum(fill))
-        fill, times = next(stack[-1], ((), 0)) if nodes < max_nodes else ((), 0)
+        fill, times = (), 0
+        if nodes < max_nodes:
+            options, tried = stack[-1]
+            options = moves(tried) if options is None else options
+            fill, times = next(options, ((), 0))
+            stack[-1] = options, tried + 1
         waste, may = capacity - sum(fill), (best - 1) * capacity - total - wasted
         if waste and times:
             times = min(times, max(0, may) // waste)
@@ -281,12 +293,14 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, max_nodes: int = MAX_NODE
         wasted += times * waste
         chosen.append((fill, times))
         if any(left):
-            stack.append(moves())
+            stack.append((moves(0), 0))
+            if len(stack) > LIVE:
+                stack[-LIVE - 1] = None, stack[-LIVE - 1][1]
             continue
         used = sum(t for _, t in chosen)
         if used < best:
             best, incumbent = used, list(chosen)
-        stack.append(iter(()))
+        stack.append((iter(()), 0))
     return incumbent
 
 
