@@ -627,3 +627,21 @@ def test_media_columns_that_clash_by_case(spark):
     df = spark.createDataFrame([(1, bytearray(png()), "x")], "id long, media binary, Media_Type string")
     got = media.sniffed(df)
     assert got.columns == ["id", "media", "media_type", "corrected", "embedded"] and got.first()["media_type"] == "image/png"
+
+
+def test_sketches_exclude_pairs_that_lack_too_much_together(spark):
+    """Copies of one text that lack 20 of its 146 shingles each: their sizes alone exclude no pair, and no similar one may go."""
+    rng = np.random.default_rng(3)
+    text, docs = rng.integers(-(2**62), 2**62, 146), {}
+    for d in range(120):
+        keep = np.delete(text, (rng.integers(0, 146) if d % 3 else 7) + np.arange(20) - 146)
+        docs[d] = {*keep.tolist(), *rng.integers(-(2**62), 2**62, 20).tolist()}
+    rows = spark.createDataFrame([(d, t) for d, own in docs.items() for t in own], "doc long, token long")
+    known = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("most"), *ngram_join._sketch())
+    known = known.withColumn("n", F.col("most")).withColumn("spare", F.expr("most - (" + " + ".join(f"bit_count(s{k})" for k in range(ngram_join.SKETCH)) + ")"))
+    side = {x: known.select(*(F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", *ngram_join._SKETCHED))) for x in "xy"}
+    kept = {tuple(r) for r in side["x"].crossJoin(side["y"]).filter("x_doc < y_doc").filter(ngram_join._may_share("x_", "y_")).select("x_doc", "y_doc").collect()}
+    pairs = [(a, b) for a in docs for b in docs if a < b]
+    linked = {(a, b) for a, b in pairs if len(docs[a] & docs[b]) >= ngram_join.required(len(docs[a]), len(docs[b]))}
+    assert linked <= kept and len(linked) > 500
+    assert len(kept) < len(pairs) / 3

@@ -51,6 +51,8 @@ CHUNKS = 32
 TURNS, MORE_TURNS, FIRST_TURNS = 2, 4, 1
 #: Pairs that one token may form before its documents are a crowd, and documents of a token that a crowd's pairs are formed by.
 CROWD, FEW = 2048, 64
+#: Numbers of 64 bits in the sketch of a crowd document's set.
+SKETCH = 16
 
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -376,7 +378,25 @@ def _stars(classed: DataFrame, pivots: DataFrame, least: int = 4) -> DataFrame:
     return written(best.select("x.a", "b"), "pairs")
 
 
-def _met(classed: DataFrame, condition: Column) -> DataFrame:
+def _sketch() -> list[Column]:
+    """Aggregates of ``token`` by document: bits of a fixed number, one of them set for each token."""
+    return [F.expr(f"bit_or(if((shiftright(token, 24) & {SKETCH - 1}) = {k}, shiftleft(1L, cast(shiftright(token, 32) & 63 as int)), 0L))").alias(f"s{k}") for k in range(SKETCH)]
+
+
+_SKETCHED = ["most", "spare", *(f"s{k}" for k in range(SKETCH))]
+
+
+def _may_share(x: str, y: str) -> Column:
+    """Whether two sets (columns that begin with ``x`` and ``y``) may share enough, by their sketches.
+
+    Shared tokens set bits that both sketches have.  They are more than those bits only by tokens that meet on a bit, of
+    which neither set has more than ``spare``: its number of tokens less that of its bits.
+    """
+    bits = " + ".join(f"bit_count({x}s{k} & {y}s{k})" for k in range(SKETCH))
+    return F.expr(f"{NUM + DEN} * ({bits} + least({x}spare, {y}spare)) >= {NUM} * ({x}n + {y}n)")
+
+
+def _met(classed: DataFrame, condition: Column, more: list[str] | None = None) -> DataFrame:
     """Pairs of documents of different classes that share as many prefix tokens as the probe asks for, and by how much they may be more similar than need be.
 
     ``classed`` also has ``own``: the place of a token in its prefix among the tokens that no other class has, and
@@ -384,9 +404,9 @@ def _met(classed: DataFrame, condition: Column) -> DataFrame:
     two sets share past the last token that both prefixes have is at most what is left of either; pairs that cannot
     reach the required number that way go too.  The same holds for what lies before a shared token: a token of either
     prefix there that no other class has is not shared, and a pair for which that leaves too few is not even formed.
-    ``condition`` is one more on x_* and y_*.
+    ``condition`` is one more on x_* and y_*, which also have the columns ``more``.
     """
-    side = {x: classed.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "pos", "own", "lev", "ell", "class", "main", "able", "crowd"))) for x in "xy"}
+    side = {x: classed.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "pos", "own", "lev", "ell", "class", "main", "able", "crowd", *(more or [])))) for x in "xy"}
     # x is outside its token's main class, y anywhere; pairs of two outsiders come up from both sides and count once.
     met = side["x"].filter("x_class != x_main").join(side["y"], "token").filter("x_class != y_class and (y_class = y_main or x_doc < y_doc)").filter(condition)
     x_longer = F.expr("(x_n > y_n) or (x_n = y_n and x_doc > y_doc)")
@@ -441,7 +461,8 @@ def _candidates(classed: DataFrame, docs: DataFrame) -> DataFrame:
     are joined, which gives a bounded number of pairs for each, and a pair stands only if what it shares of these and
     the common tokens of either together reach what is required.  A pair that shares none of these must reach it with
     common tokens alone; few documents can, and only those are joined by prefix.  In a group of copies that were
-    edited one by one, edits are tokens of few, so almost no pair is formed in vain.
+    edited one by one, edits are tokens of few.  What two such copies lack of the text that they were made from differs
+    too: sketches of what each shares with other classes keep most pairs that lack too much together from being formed.
     """
     before = Window.partitionBy("doc").orderBy("pos")
     classed = classed.withColumn("own", F.col("pos") - F.row_number().over(before) + 1)
@@ -456,16 +477,17 @@ def _candidates(classed: DataFrame, docs: DataFrame) -> DataFrame:
     per = held.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("token", "c")
     shared = written(tokens.join(per, "token"), "crowd-shared", compression="zstd")
     few = shared.filter(f"c <= {FEW}").select("token", "doc")
-    known = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("most"), F.sum(F.expr(f"cast(c > {FEW} as long)")).alias("able"))
-    known = written(known.join(crowd, "doc"), "crowd-known")
+    known = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("most"), F.sum(F.expr(f"cast(c > {FEW} as long)")).alias("able"), *_sketch())
+    spare = F.expr("most - (" + " + ".join(f"bit_count(s{k})" for k in range(SKETCH)) + ")").alias("spare")
+    known = written(known.select("*", spare).join(crowd, "doc"), "crowd-known")
     # Only documents that can be similar to any other at all.
     rows = few.join(known.filter(f"{DEN} * most >= {NUM} * n"), "doc")
-    side = {x: rows.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "class", "able", "most"))) for x in "ab"}
-    joined = side["a"].join(side["b"], "token").filter(f"a_doc < b_doc and a_class != b_class and {NUM + DEN} * least(a_most, b_most) >= {NUM} * (a_n + b_n)")
+    side = {x: rows.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "n", "class", "able", *_SKETCHED))) for x in "ab"}
+    joined = side["a"].join(side["b"], "token").filter(f"a_doc < b_doc and a_class != b_class and {NUM + DEN} * least(a_most, b_most) >= {NUM} * (a_n + b_n)").filter(_may_share("a_", "b_"))
     joined = joined.groupBy(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(F.expr(f"{NUM} * (a_n + b_n) - {NUM + DEN} * least(a_able, b_able)")).alias("short"))
     by_few = joined.select("a", "b", F.expr(f"cast({NUM + DEN} * c - short as long)").alias("margin")).filter("margin >= 0")
-    able = classed.join(known.filter(f"{DEN} * able >= {NUM} * n").select("doc", "able"), "doc").withColumn("crowd", F.lit(True))
-    by_common = _met(able, F.lit(True))
+    able = classed.join(known.filter(f"{DEN} * able >= {NUM} * n").select("doc", "able", *_SKETCHED), "doc").withColumn("crowd", F.lit(True))
+    by_common = _met(able, _may_share("x_", "y_"), _SKETCHED)
     every = sparse.union(by_few).union(by_common)
     return written(every.groupBy("a", "b").agg(F.max("margin").alias("margin")), "pairs")
 
