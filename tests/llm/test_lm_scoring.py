@@ -218,6 +218,23 @@ def test_rounds_train_on_every_window_that_is_kept(texts, monkeypatch):
     assert loss(trained) < loss(untrained)
 
 
+def test_all_windows_of_training_documents_train(texts, monkeypatch):
+    """As the module is: each id of each training document counts in one window that trains, and tasks leave none out."""
+    gathered = lm_scoring.gather(texts, lm_scoring.held_out(F.col("doc_id")))
+    kept = gathered.filter((F.col("kind") == lm_scoring.WINDOW) & (F.col("c") == 1)).collect()
+    all_ids = sum(r["c"] for r in gathered.filter(F.col("kind") == lm_scoring.ID).collect())
+    assert sum(len(r["data"]) // 4 - 2 - r["g"] for r in kept) == all_ids
+    net = attention.Net.start(np.array([5, 3, 2, 0]))
+    rng, seen = np.random.default_rng(1), []
+    monkeypatch.setattr(attention, "lay", lambda ids, start, lay=attention.lay: seen.extend(int(x[0]) for x in ids) or lay(ids, start))
+    adam = None
+    for lo in (0, 100, 200):
+        ids = [np.concatenate([[lo + k, 0], rng.integers(0, 3, 5)]) for k in range(100)]
+        monkeypatch.setattr(net, "loss", lambda *x: (0.0, {}))
+        adam, _ = attention.train(net, ids, np.zeros(100, int), -(-100 // 32), 0.01, batch=32, adam=adam)
+    assert {*seen} == {*range(300)} and adam.steps == 12
+
+
 def test_words_that_share_a_hash(monkeypatch):
     speller = lm_scoring.Speller(lm_scoring.VOCABULARY)
     monkeypatch.setattr(lm_scoring.wh, "hash_spans", lambda buf, starts, lens, seed=0: np.full(len(starts), 5, np.uint64))

@@ -316,23 +316,24 @@ def lay(ids: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.n
     return out[:, 1:-1], out[:, :-2], out[:, 2:]
 
 
-def train(net: Net, ids: list[np.ndarray], since: np.ndarray, steps: int, rate: float, least: float = 0.0, warm: int = 20, seed: int = 0) -> tuple[Adam, list[float]]:
+def train(net: Net, ids: list[np.ndarray], since: np.ndarray, steps: int, rate: float, least: float = 0.0, warm: int = 20, seed: int = 0, batch: int = BATCH, adam: Adam | None = None) -> tuple[Adam, list[float]]:
     """Adam over windows in random order, again and again; the rate rises over ``warm`` steps and falls to ``least`` of it.
 
-    ``since``: the place from which each window's targets count.
+    ``since``: the place from which each window's targets count.  ``adam`` goes on where it was.  Each window comes once
+    at least if there are as many steps as batches.
     """
-    rng, adam, losses = np.random.default_rng(seed), Adam(net.params), []
+    rng, adam, losses = np.random.default_rng(seed), adam or Adam(net.params), []
     net.ready = {}
     lens = np.array([len(x) - 2 for x in ids])
     order = np.zeros(0, np.int64)
     for step in range(steps):
-        if order.size < BATCH:
+        if order.size < batch:
             order = np.concatenate([order, rng.permutation(len(ids))])
-        own, order = order[:BATCH], order[BATCH:]
+        own, order = order[:batch], order[batch:]
         x, x2, y = lay([ids[i] for i in own], net.size)
         place = np.arange(x.shape[1])
         valid = (place < lens[own][:, None]) & (place >= since[own][:, None])
         loss, grads = net.loss(x, x2, y, valid)
-        adam.step(net.params, grads, rate * min(1.0, (step + 1) / warm) * max(least, 1 - step / steps))
+        adam.step(net.params, grads, rate * min(1.0, (adam.steps + 1) / warm) * max(least, 1 - step / steps))
         losses.append(loss)
     return adam, losses

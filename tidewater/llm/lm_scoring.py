@@ -15,11 +15,11 @@ What is learned:
 
 * One pass over all documents encodes them and writes their ids, from which all else is
   read.  Of training documents it counts all words (for ``base_score``) and all subword
-  ids (the order of the softmax and its first biases), and keeps, of all windows of all
-  training documents, one in ``SHARE``, chosen by a hash.
+  ids (the order of the softmax and its first biases), and keeps all windows of all
+  training documents.
 * Training begins on the driver with the ``SEED_WINDOWS`` windows whose hashes are least.
-  Then, in ``ROUNDS`` rounds, executors train on all windows kept: each task takes Adam
-  steps from the common parameters over its own windows, and for every row of the
+  Then, in ``ROUNDS`` rounds, executors train on all windows, each in one round: each task takes Adam
+  steps from the common parameters over its own windows, some at a time, and for every row of the
   parameters the tasks' moves are averaged by how often each task moved it.  So steps,
   tasks and data grow with the corpus; what the driver holds is bounded by the vocabulary.
 
@@ -52,17 +52,17 @@ from pyspark.sql import functions as F
 
 from . import attention
 from . import wordhash as wh
-from .attention import BATCH, Net, windows
+from .attention import Net, windows
 from .common import column, slices, table, written
 from .encode import BYTE, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
-#: One window in SHARE trains the model.
-SHARE = 64
+#: One window in SHARE trains the model: all of them.
+SHARE = 1
 SEED_WINDOWS, SEED_STEPS, SEED_RATE = 16_384, 1500, 0.01
 ROUNDS, ROUND_RATE = 2, 0.008
-#: Windows that a training task has, about, if there are that many.
-TASK_WINDOWS = 4096
+#: Windows that a training task has, about, if there are that many, and at most at once; windows in one of its steps.
+TASK_WINDOWS, ROUND_BATCH = 4096, 128
 #: Words whose counts are sent to the executors, and words that a worker remembers.
 WORDS, KEPT_WORDS = 500_000, 700_000
 #: Numbers in a piece of the parameters.
@@ -281,14 +281,23 @@ def _round(net: Net, rank: np.ndarray, rows: DataFrame, rate: float) -> None:
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared.value
+        own, adam = Net({k: v.copy() for k, v in common.params.items()}, common.cuts), None
         since, data = [], []
+
+        def learn() -> attention.Adam:
+            return attention.train(own, _ranked(data, rank), np.array(since), -(-len(data) // ROUND_BATCH), rate, least=0.3, warm=10, batch=ROUND_BATCH, adam=adam)[0]
+
         for batch in batches:
-            since += column(batch, "g").to_pylist()
-            data += column(batch, "data").to_pylist()
-        if not data:
+            for lo in range(0, len(batch), TASK_WINDOWS):
+                part = batch.slice(lo, TASK_WINDOWS)
+                since += column(part, "g").to_pylist()
+                data += column(part, "data").to_pylist()
+                if len(data) >= TASK_WINDOWS:
+                    adam, since, data = learn(), [], []
+        if data:
+            adam = learn()
+        if adam is None:
             return
-        own = Net({k: v.copy() for k, v in common.params.items()}, common.cuts)
-        adam, _ = attention.train(own, _ranked(data, rank), np.array(since), -(-len(data) // BATCH), rate, least=0.3, warm=10)
         out = []
         for name, x in own.params.items():
             times, moved = adam.moved[name], x - common.params[name]
