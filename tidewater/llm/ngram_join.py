@@ -25,6 +25,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -91,8 +92,18 @@ def _chunks(counts: np.ndarray) -> list[bytes]:
     return [zlib.compress(c.astype("<u4").tobytes(), 1) for c in np.split(counts, CHUNKS)]
 
 
-def _merged(rows: DataFrame, combine) -> np.ndarray:
-    """Arrays that tasks have sent in ``CHUNKS`` parts (chunk, data), combined; each task holds one part of the sum."""
+def _whole(chunks: list[bytes]) -> np.ndarray:
+    """The array whose compressed parts these are.  Workers put it together; the driver only passes the parts on."""
+    return np.concatenate([np.frombuffer(zlib.decompress(c), "<u4") for c in chunks]) if chunks else np.zeros(0, np.uint32)
+
+
+def _collected(rows: DataFrame) -> list[bytes]:
+    """The data of ``CHUNKS`` rows at most (chunk, data), by chunk."""
+    return [bytes(r["data"]) for r in sorted(rows.collect(), key=lambda r: r["chunk"])]
+
+
+def _merged(rows: DataFrame, combine) -> list[bytes]:
+    """Arrays that tasks have sent in ``CHUNKS`` parts (chunk, data), combined, as compressed parts; each task holds one part of the sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -103,8 +114,7 @@ def _merged(rows: DataFrame, combine) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["chunk", "data"])
 
-    found = rows.repartition(CHUNKS, "chunk").mapInArrow(run, "chunk int, data binary").collect()  # CHUNKS rows
-    return np.concatenate([np.frombuffer(zlib.decompress(r["data"]), "<u4") for r in sorted(found, key=lambda r: r["chunk"])]) if found else np.zeros(0, np.uint32)
+    return _collected(rows.repartition(CHUNKS, "chunk").mapInArrow(run, "chunk int, data binary"))
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
@@ -137,14 +147,16 @@ def _profiles(docs: DataFrame) -> DataFrame:
     return written(docs.mapInArrow(run, "doc_id long, n int, f1 long, f2 long, chunk int, data binary"), "profiles", texts=True)
 
 
-def frequency_levels(counts: np.ndarray) -> np.ndarray:
+def frequency_levels(counts: np.ndarray, mean: float | None = None) -> np.ndarray:
     """0 where a counter holds what chance alone may put there, else the binary logarithm of how far it stands above, from 1 on.
 
     Most tokens are in one document, so a counter's share of them varies as a Poisson number does.
+    ``mean``: that of all counters, where ``counts`` are a part of them.
     """
     if not counts.size:
         return np.zeros(1 << COUNTER_BITS, np.uint8)
-    mean = float(counts.sum(dtype=np.int64)) / counts.size
+    if mean is None:
+        mean = float(counts.sum(dtype=np.int64)) / counts.size
     out = np.zeros(counts.size, np.uint8)
     high = np.flatnonzero(counts > mean + 4 * mean**0.5 + 3)
     for at in np.array_split(high, 1 + high.size // (1 << 16)):  # the driver does this for all counters
@@ -152,6 +164,13 @@ def frequency_levels(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _levels(chunks: list[bytes]) -> list[bytes]:
+    """``frequency_levels`` of the counters with these parts, as compressed parts; one part at a time is unpacked."""
+    counts = lambda c: np.frombuffer(zlib.decompress(c), "<u4")
+    mean = sum(int(counts(c).sum(dtype=np.int64)) for c in chunks) / (1 << COUNTER_BITS)
+    return [zlib.compress(frequency_levels(counts(c), mean).tobytes(), 1) for c in chunks]
+
+
 def choose_matches(level: np.ndarray, n: int) -> int:
     """The l for a probing set whose tokens, in order, have these frequency levels.
 
@@ -176,7 +195,7 @@ def _prefixes(docs: DataFrame, levels) -> DataFrame:
     """token, doc, n, pos, lev (smallest l whose index prefix has the token, 0: none), ell (the probe's l, 0: not in its prefix); written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level_of = levels.value
+        level_of = np.frombuffer(b"".join(map(zlib.decompress, levels.value)), np.uint8) if levels.value else frequency_levels(np.zeros(0, np.uint32))
         for batch in batches:
             for part, texts in slices(batch):
                 tokens, meta = [], []
@@ -207,8 +226,8 @@ def _prefixes(docs: DataFrame, levels) -> DataFrame:
     return written(docs.mapInArrow(run, "token long, doc long, n int, pos int, lev byte, ell byte"), "prefixes", texts=True, compression="zstd")
 
 
-def _bits(wanted: DataFrame) -> np.ndarray:
-    """Bits of fixed number, set for the documents in ``wanted`` (doc) and few others."""
+def _bits(wanted: DataFrame) -> list[bytes]:
+    """Bits of fixed number, set for the documents in ``wanted`` (doc) and few others, as compressed parts."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
@@ -235,15 +254,16 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _whole(shared.value)
         for batch in batches:
-            for part, texts in slices(_chosen(batch, shared.value)):
+            for part, texts in slices(_chosen(batch, seen)):
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["doc", "tokens"])
 
     return written(docs.filter("doc_id is not null").mapInArrow(run, "doc long, tokens binary"), "sets", texts=True)
 
 
-def _met_twice(prefixes: DataFrame) -> np.ndarray:
-    """Bits of fixed number, set at least where two rows of ``prefixes`` or more have their token."""
+def _met_twice(prefixes: DataFrame) -> list[bytes]:
+    """Bits of fixed number, set at least where two rows of ``prefixes`` or more have their token, as compressed parts."""
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = (np.zeros(1 << (TOKEN_BITS - 5), np.uint32) for _ in range(2))
@@ -269,8 +289,7 @@ def _met_twice(prefixes: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], names=["chunk", "data"])
 
     marked = prefixes.select("token").mapInArrow(marks, "chunk int, once binary, twice binary").repartition(CHUNKS, "chunk")
-    found = marked.mapInArrow(merge, "chunk int, data binary").collect()  # CHUNKS rows
-    return np.concatenate([np.frombuffer(zlib.decompress(r["data"]), "<u4") for r in sorted(found, key=lambda r: r["chunk"])]) if found else np.zeros(0, np.uint32)
+    return _collected(marked.mapInArrow(merge, "chunk int, data binary"))
 
 
 def _slot(tokens: pa.Array) -> np.ndarray:
@@ -283,7 +302,7 @@ def _maybe_shared(prefixes: DataFrame) -> DataFrame:
     twice = prefixes.sparkSession.sparkContext.broadcast(_met_twice(prefixes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = twice.value
+        bits = _whole(twice.value)
         for batch in batches:
             slot = _slot(column(batch, "token"))
             yield batch.filter(pa.array((bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
@@ -346,20 +365,21 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def _and(links: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if links is None else links.union(more)
+def _joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The classes (node, component) ``known`` with more ``links`` (a, b); contraction goes on from them."""
+    old = [] if known is None else [known.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+    return components(functools.reduce(DataFrame.union, old, links))
 
 
-def _classes(shared: DataFrame, links: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+def _classes(shared: DataFrame, known: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
     """``shared`` with each document's class and its token's main one, for tokens that several classes have; those tokens' pivots.
 
     The main class has most of the token's holders; its pivot is the one whose tokens are most common or, in later
     turns, whose hash is least, so that most tokens of a group of near copies have the same pivot.
     """
-    if links is None:
+    if known is None:
         classed = shared.withColumn("class", F.col("doc"))
     else:
-        known = written(components(links), "known")
         classed = shared.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("class", F.coalesce("component", "doc")).drop("component")
     rank = F.xxhash64("doc", F.lit(turn)).cast("double") if turn else F.col("score")
     per = classed.groupBy("token", "class").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct(rank.alias("h"), "n", "doc")).alias("s"))
@@ -492,15 +512,14 @@ def _candidates(classed: DataFrame, docs: DataFrame) -> DataFrame:
     return written(every.groupBy("a", "b").agg(F.max("margin").alias("margin")), "pairs")
 
 
-def _linked(pairs: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
-    """``links`` and similar pairs among ``pairs`` (a, b, margin) that join all classes which any of them joins.
+def _linked(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """The classes ``known``, joined by all similar pairs among ``pairs`` (a, b, margin) between different ones.
 
     Each document's most promising pair goes first.  Pairs inside a class that has come together need no check; in the
     last round all that are left are checked.
     """
     for turn in range(FIRST_TURNS + 1):
         if turn:
-            known = written(components(links), "known")
             for x in "ab":
                 pairs = pairs.join(known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
             # A pair that has been checked without being similar is checked again at most once, at the end.
@@ -509,10 +528,8 @@ def _linked(pairs: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
         if turn < FIRST_TURNS:
             best = [pairs.groupBy(x).agg(F.max(F.struct("margin", F.xxhash64("a", "b", F.lit(turn)).alias("h"), y)).alias("m")).select(F.col(x), f"m.{y}") for x, y in ("ab", "ba")]
             own = written(best[0].select("a", "b").union(best[1].select("a", "b")).distinct(), "pairs")
-        links = _and(links, _verified(own.select("a", "b"), docs))
-    return links
-
-
+        known = _joined(known, _verified(own.select("a", "b"), docs))
+    return known
 
 
 def similar_classes(docs: DataFrame) -> DataFrame:
@@ -542,8 +559,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
 def _classes_of(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """``similar_classes`` where no ``doc_id`` repeats."""
     spark = docs.sparkSession
-    counts = _merged(profiles.filter("chunk is not null").select("chunk", "data"), np.add)
-    levels = spark.sparkContext.broadcast(frequency_levels(counts))
+    levels = spark.sparkContext.broadcast(_levels(_merged(profiles.filter("chunk is not null").select("chunk", "data"), np.add)))
     rows = profiles.filter("chunk is null").select("doc_id", "n", "f1", "f2")
     full = rows.filter("n > 0 and doc_id is not null")
     groups = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -565,11 +581,11 @@ def _classes_of(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     shared = scored
 
     # Two rounds of one check at most for each document, then all candidates between different classes.
-    links = None
+    known = None
     for turn in range(TURNS):
-        classed, main = _classes(shared, links, turn)
-        links = _and(links, _verified(_stars(classed, main), docs))
-    classed, _ = _classes(shared, links, 0)
+        classed, main = _classes(shared, known, turn)
+        known = _joined(known, _verified(_stars(classed, main), docs))
+    classed, _ = _classes(shared, known, 0)
     classed = written(classed, "classed", compression="zstd")
     # In groups that are crowded still, more rounds, as long as they find links: first with the documents whose tokens are
     # most common, as the first round's classes have come together meanwhile.
@@ -577,19 +593,18 @@ def _classes_of(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     if not crowded.isEmpty():
         small = written(shared.join(crowded, "token", "left_semi"), "crowded-rows")
         for turn in range(MORE_TURNS):
-            own, main = _classes(small, links, turn and TURNS + turn)
+            own, main = _classes(small, known, turn and TURNS + turn)
             found = _verified(_stars(own, main, 100), docs)
             if found.isEmpty():
                 break
-            links = _and(links, found)
+            known = _joined(known, found)
         removed(small)
         removed(classed)
-        classed = written(_classes(shared, links, 0)[0], "classed", compression="zstd")
+        classed = written(_classes(shared, known, 0)[0], "classed", compression="zstd")
     removed(shared)
-    links = _linked(_candidates(classed, docs), links, docs)
+    both = _linked(_candidates(classed, docs), known, docs)
     removed(classed)
 
-    both = components(links)
     named = full.join(groups, ["n", "f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "rep")
     named = named.join(both, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     alone = rows.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
