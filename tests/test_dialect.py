@@ -246,6 +246,63 @@ def test_a_theta_join_of_one_window_is_dealt_to_parts(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_pairs_of_a_theta_join_take_a_fraction_of_a_byte_in_a_file(spark, tmp_path):
+    from tidewater.session import Engine
+
+    e = Engine(spark)
+    for name, fields in (("l", "a long, i long, t long"), ("r", "b long, j long, u long")):  # four windows; values in no order
+        e.register(name, spark.createDataFrame([(k * 7919 % 4801, (name == "r") * 5000 + k * 31 % 4801, k % 4 * 1000) for k in range(4800)], fields))
+    df = e.query("SELECT start, a, i, b, j FROM l JOIN r ON a < b AND i != j WINDOW TUMBLING(t, u, SIZE 1 SEC)").df
+    df.write.parquet(str(tmp_path / "pairs"))
+    sides = [sorted(k * 7919 % 4801 for k in range(w, 4800, 4)) for w in range(4)]
+    want = sum(len(side) * (len(side) - 1) // 2 for side in sides)
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == want
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < want
+
+
+@pytest.mark.parametrize(("cell", "tile", "size"), [(5, 128, 1 << 22), (5, 2, 4), (1, 1, 1)])
+@pytest.mark.parametrize("on", ["a < b", "a < b AND m != n", "a < b AND m < INT32(3) AND n > INT32(0)", "CHAR_LENGTH(x) < CHAR_LENGTH(y)", "a < b OR x = y", "INT32(1) = INT32(1)", "NOT ISNULL(a)"])
+def test_theta_joins_by_cells_and_tiles_equal_brute_force(spark, monkeypatch, on, cell, tile, size):
+    import random
+
+    from tidewater.operators import join
+    from tidewater.session import Engine
+
+    for name, value in (("CELL", cell), ("TILE", tile), ("TILE_BYTES", size)):
+        monkeypatch.setattr(join, name, value)
+    rng = random.Random(cell + tile)
+    side = lambda n: [(rng.choice([None, *range(9)]), rng.randrange(4), rng.choice([None, "", "kelp", "eel"]), rng.choice([3, 3, 3, 14, 25])) for _ in range(n)]
+    mine, theirs = side(33), side(27)
+    mine += mine[:3]  # rows may be equal
+    e = Engine(spark)
+    e.register("l", spark.createDataFrame(mine, "a int, m int, x string, t long"))
+    e.register("r", spark.createDataFrame(theirs, "b int, n int, y string, u long"))
+    got = e.query(f"SELECT start, a, m, x, b, n, y FROM l JOIN r ON {on} WINDOW SLIDING(t, u, SIZE 20 MS, ADVANCE BY 10 MS)").df.collect()
+    less = lambda a, b: None not in (a, b) and a < b
+    holds = {
+        "a < b": lambda a, m, x, b, n, y: less(a, b),
+        "a < b AND m != n": lambda a, m, x, b, n, y: less(a, b) and m != n,
+        "a < b AND m < INT32(3) AND n > INT32(0)": lambda a, m, x, b, n, y: less(a, b) and m < 3 and n > 0,
+        "CHAR_LENGTH(x) < CHAR_LENGTH(y)": lambda a, m, x, b, n, y: None not in (x, y) and len(x) < len(y),
+        "a < b OR x = y": lambda a, m, x, b, n, y: less(a, b) or (x is not None and x == y),
+        "INT32(1) = INT32(1)": lambda *_: True,
+        "NOT ISNULL(a)": lambda a, *_: a is not None,
+    }[on]
+    want = [(s, *p[:3], *q[:3]) for s in range(0, 30, 10) for p in mine for q in theirs if s <= p[3] < s + 20 and s <= q[3] < s + 20 and holds(*p[:3], *q[:3])]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_a_window_of_many_rows_is_cut_into_cells_and_others_are_not(spark, monkeypatch):
+    from tidewater.operators import join
+
+    monkeypatch.setattr(join, "CELL", 100)
+    l, r = (spark.createDataFrame([(k, 0) for k in range(many)] + [(k, 1000) for k in range(50)], f"{c} long, __{c}s long") for c, many in (("l", 1000), ("r", 250)))  # noqa: E741
+    l, r = join._grid(l, r, 4)  # noqa: E741
+    cells = [{(x[f"__{c}s"], x[f"__{c}p"], x[f"__{c}q"]) for x in df.collect()} for c, df in (("l", l), ("r", r))]
+    assert cells[0] == cells[1] == {(0, i, j) for i in range(4) for j in range(3)} | {(1000, 0, 0)}
+    assert (l.count(), r.count()) == (1000 * 3 + 50, 250 * 4 + 50)
+
+
 def test_unions_keep_all_and_go_by_name(spark):
     e = engine(spark, north=("buoy INT64 NOT NULL, lit BOOLEAN NOT NULL", "3,true\n4,false"), south=("lit BOOLEAN NOT NULL, buoy INT64 NOT NULL", "true,3"))
     assert lines(e, "SELECT * FROM north UNION SELECT * FROM south") == expected("3,true\n3,true\n4,false")
